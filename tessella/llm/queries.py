@@ -1,4 +1,35 @@
 """Queries of the training-data operators and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.llm.tokens import encode_column
+from tessella.llm.topn import top_n
+from tessella.session import table
+
+#: Where the public vocabularies are; never copied.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_n(table(spark, sf_dir, "embedding_variance"), ["prompt_id", "embedding_column"], "persona", "total_variance", 5).select(
+        "prompt_id", "embedding_column", "persona", "rank_no"
+    )
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_column(texts, "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
+
+
+QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids}
+SQL = {
+    "p2_found": """
+        WITH best AS (
+            SELECT prompt_id, embedding_column, persona, max(total_variance) AS v FROM embedding_variance
+            WHERE prompt_id IS NOT NULL AND persona IS NOT NULL AND total_variance IS NOT NULL AND NOT isnan(total_variance)
+            GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, embedding_column ORDER BY v DESC, persona) AS rank_no FROM best)
+        SELECT prompt_id, embedding_column, persona, rank_no FROM ranked WHERE rank_no <= 5""",
+}
