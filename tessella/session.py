@@ -82,3 +82,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows. Reads no more than max_rows + 1 of them."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in enough partitions to keep all cores busy with per-row Python work.
+
+    A table of many files already has them and stays as it is; only one that comes in fewer pieces than there are cores is
+    dealt out by a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
