@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.leakage import leaks
 from tessella.llm.tokens import encode_column
 from tessella.llm.topn import top_n
 from tessella.session import table
@@ -23,7 +24,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(texts, "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
 
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}
 SQL = {
     "p2_found": """
         WITH best AS (
