@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.leakage import leaks
+from tessella.llm.percentiles import digest, merge, percentiles
 from tessella.llm.tokens import encode_column
 from tessella.llm.topn import top_n
 from tessella.session import table
@@ -19,6 +21,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_P4 = ["category", "persona"], ["avg_entropy", "avg_top_k_mass"]
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles(table(spark, sf_dir, "results"), *_P4, slice_by=F.col("run_id"))
+
+
+def p4_digests_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest per category or persona and day, as stored for a later merge: its centroids in order."""
+    daily = merge(digest(table(spark, sf_dir, "results"), *_P4, slice_by=F.to_date("finished_at")))
+    centroids = F.sort_array(F.collect_list(F.struct("mean", "weight")))  # at most DELTA / 2 of them
+    return daily.groupBy("dim", "key", "slice", "metric").agg(F.sum("weight").alias("n"), centroids.alias("centroids"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_column(texts, "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "ids")
@@ -28,7 +44,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p4_percentiles": p4_percentiles, "p4_digests_by_day": p4_digests_by_day, "p6_ids": p6_ids, "p7_found": p7_found}
 SQL = {
     "p2_found": """
         WITH best AS (
