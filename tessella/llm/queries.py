@@ -9,18 +9,49 @@ from tessella.llm.leakage import leaks
 from tessella.llm.percentiles import digest, merge, percentiles
 from tessella.llm.tokens import encode_column
 from tessella.llm.topn import top_n
+from tessella.llm.truncation import judged, truncated
 from tessella.session import table
 
 #: Where the public vocabularies are; never copied.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judged texts of results and consistency_results, with what their runs say of the generation."""
+    runs = table(spark, sf_dir, "run_configs").select("run_id", "max_tokens").dropDuplicates(["run_id"])
+    one = table(spark, sf_dir, "results").select(F.lit("results").alias("source"), "ordinal", "run_id", "question", F.col("response").alias("text"), "num_tokens")
+    two = table(spark, sf_dir, "consistency_results").select(
+        F.lit("consistency_results").alias("source"), "ordinal", "run_id", F.col("follow_up").alias("question"), F.col("response2").alias("text"), F.col("response2_num_tokens").alias("num_tokens")
+    )
+    return one.unionByName(two).join(runs, "run_id", "left")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = truncated(_answers(spark, sf_dir))
+    return found.select(F.col("source").alias("source_table"), "ordinal", F.when(F.col("source") == "results", "response").otherwise("response2").alias("field"))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the answers of each run are cut, and by which evidence."""
+    by = judged(_answers(spark, sf_dir)).groupBy("source", "run_id", F.coalesce("evidence", F.lit("whole")).alias("evidence")).agg(F.count("*").alias("n"))
+    total = by.groupBy("source", "run_id").agg(F.sum("n").alias("answers"))
+    return by.alias("b").join(total.alias("t"), F.expr("b.source = t.source and b.run_id <=> t.run_id")).select(
+        "b.source", "b.run_id", "evidence", "n", "answers", (F.col("n") / F.col("answers")).alias("share")
+    )
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(table(spark, sf_dir, "embedding_variance"), ["prompt_id", "embedding_column"], "persona", "total_variance", 5).select(
         "prompt_id", "embedding_column", "persona", "rank_no"
     )
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = judged(_answers(spark, sf_dir), hints=True)
+    defect = F.when(F.col("truncated"), F.lit("truncated")).otherwise(F.col("hint"))
+    return seen.select(F.col("source").alias("source_table"), "ordinal", defect.alias("defect")).where("defect is not null")
+
+
 _P4 = ["category", "persona"], ["avg_entropy", "avg_top_k_mass"]
 
 
@@ -44,7 +75,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_percentiles": p4_percentiles, "p4_digests_by_day": p4_digests_by_day, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p4_digests_by_day": p4_digests_by_day, "p6_ids": p6_ids, "p7_found": p7_found}
 SQL = {
     "p2_found": """
         WITH best AS (
