@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.leakage import leaks
 from tessella.llm.percentiles import digest, merge, percentiles
+from tessella.llm.subjects import main_subjects, subjects_of
 from tessella.llm.tokens import encode_column
 from tessella.llm.topn import top_n
 from tessella.llm.truncation import judged, truncated
@@ -75,7 +76,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p4_digests_by_day": p4_digests_by_day, "p6_ids": p6_ids, "p7_found": p7_found}
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subjects"))
+    return subjects_of(*tables, excluded=table(spark, sf_dir, "eval_items").select("text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_subjects(_subjects(spark, sf_dir))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source and subject, and their share of the source's documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"))
+    all_of = docs.groupBy("source").agg(F.count("*").alias("documents"))
+    n = main_subjects(_subjects(spark, sf_dir)).join(docs, "doc_id").groupBy("source", "subject").agg(F.count("*").alias("n"))
+    joined = n.alias("n").join(all_of.alias("a"), F.expr("n.source <=> a.source"))
+    return joined.select("n.source", "subject", "n", "documents", (F.col("n") / F.col("documents")).alias("share"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p2_found": p2_found, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p4_digests_by_day": p4_digests_by_day, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL = {
     "p2_found": """
         WITH best AS (
