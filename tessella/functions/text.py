@@ -109,5 +109,5 @@ def parent_dir(path: Column) -> Column:
 
 def gpu_sample(line: Column) -> Column:
     """The seven fields of a comma-separated sample line, trimmed; null if there are fewer."""
-    parts = F.transform(F.split(line, ","), F.trim)
+    parts = F.transform(F.split(line, ","), lambda x: F.trim(x))
     return F.when(F.size(parts) >= 7, F.slice(parts, 1, 7))

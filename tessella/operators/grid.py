@@ -20,7 +20,7 @@ def task_grid(personae: DataFrame, prompts: DataFrame, repetitions: int, rep: st
         raise ValueError("repetitions must be at least 1")
     p = personae.withColumnRenamed("ordinal", "persona_ordinal").withColumn("system_prompt", system_prompt(F.col("persona"), F.col("article"), style))
     q = prompts.withColumnRenamed("ordinal", "prompt_ordinal")
-    return p.crossJoin(q).withColumn(rep, F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).cast("bigint"))
+    return p.crossJoin(q).withColumn(rep, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(repetitions - 1).cast("bigint"))))
 
 
 def remaining_tasks(tasks: DataFrame, done: DataFrame, key: list[str] = TASK_KEY) -> DataFrame:

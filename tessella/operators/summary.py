@@ -50,8 +50,8 @@ def box_stats(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     fences = q.select(
         *groups, "n", "mean", *[F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))]
     ).withColumns({"lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    same = [rows[g].eqNullSafe(fences[g]) for g in groups]
-    joined = rows.join(fences, same).select(*[fences[g] for g in groups], "x", "n", "mean", "q1", "median", "q3", "lo", "hi")
+    same = " and ".join(f"r.`{g}` <=> f.`{g}`" for g in groups)
+    joined = rows.alias("r").join(fences.alias("f"), F.expr(same)).select("r.x", "f.*")
     inside = F.when((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.col("x"))
     return joined.groupBy(*groups, "n", "mean", "q1", "median", "q3").agg(
         F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), F.count_if(inside.isNull()).alias("outliers")
