@@ -79,16 +79,20 @@ def load_personae(spark: SparkSession, path: str) -> DataFrame:
     return _not_empty(_required(rows, ["persona", "category", "article"], "persona"), "personae")
 
 
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(value, j) of the non-blank lines: j is the parsed row with _corrupt_record, which is null if the line is whole."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select("value", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
+
+
 def load_results(spark: SparkSession, path: str, schema: str = RESULT, strict: bool = False) -> DataFrame:
     """Result rows of .jsonl files (a file, a directory or a pattern), or of a .json array; extra keys are dropped.
 
-    Torn lines, as an interrupted append leaves them, are left out; strict: they are an error.
+    Torn lines, as an interrupted append leaves them, are left out; strict: they are an error. A torn array is an error.
     """
-    reader = spark.read.option("multiLine", path.endswith(".json"))
-    if strict:
-        return reader.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = reader.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    if strict or path.endswith(".json"):
+        return spark.read.schema(schema).option("multiLine", path.endswith(".json")).option("mode", "FAILFAST").json(path)
+    return _parsed(spark, path, schema).where("j._corrupt_record is null").select("j.*").drop("_corrupt_record")
 
 
 def load_consistency_results(spark: SparkSession, path: str) -> DataFrame:
@@ -96,9 +100,8 @@ def load_consistency_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def torn_lines(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
-    """The lines that load_results leaves out."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path).cache()  # the reader wants other columns besides
-    return rows.where("_corrupt_record is not null").select("_corrupt_record")
+    """(value): the lines that load_results leaves out."""
+    return _parsed(spark, path, schema).where("j._corrupt_record is not null").select("value")
 
 
 def discover_runs(files: DataFrame) -> DataFrame:
