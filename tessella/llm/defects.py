@@ -139,7 +139,7 @@ def tiles(a: list[str], b: list[str], least: int = TILE) -> int:
                 if n > best[0]:
                     best = (n, i, j)
         n, i, j = best
-        if n < least and n < len(b):
+        if not n or n < least and n < len(b):
             return covered
         covered += n
         for k in range(n):
