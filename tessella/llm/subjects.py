@@ -37,7 +37,7 @@ BROADCAST_LABELS, EXCLUDED = 500_000, 100_000
 CHUNK = 500_000
 
 _SENTENCE = re.compile(r"(?<=[.!?。…])[\"”»)’]*\s+")
-_LINE = re.compile(r"\n+|(?:\\n)+|\",\s*\"")
+_LINE = re.compile(r"\n+|(?:\\n)+|\",\s*\"(?!\w+\":)")
 _SPEAKER = re.compile(r"\s*(?:\[\w{1,12}\] |[<>]{2} |[^:.!?\n“\"{]{1,60}: (?=[A-ZÀ-Þ¿¡“«0-9А-Я぀-鿿]))")
 _ROLE = re.compile(r"\s*System: ")
 
