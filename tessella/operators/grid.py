@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions.text import system_prompt
 
 TASK_KEY = ["persona", "prompt_id", "rep_idx"]
+#: Consecutive ordinals whose rows are ordered together.
+BLOCK = 65_536
 
 
 def task_grid(personae: DataFrame, prompts: DataFrame, repetitions: int, rep: str = "rep_idx", style: str = "you-are-a") -> DataFrame:
@@ -47,6 +49,21 @@ def _ceil(n: int, fraction: float) -> int:
     return math.ceil(n * fraction)
 
 
+def running_total(df: DataFrame, group: str, ordinal: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
+    """df with `out`: the sum of value over the group's rows up to and with this one, in order of the ordinal.
+
+    Ordinals are unique, so a block of consecutive ones holds at most `block` rows: rows are ordered within group and block,
+    and a group's blocks by their sums, so that a group of any size never comes into one task. A null group is a group.
+    """
+    at = df.withColumn("_b", F.floor(F.col(ordinal) / block)).withColumn("_v", value)
+    sums = at.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_sb")).agg(F.sum("_v").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy("_g").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("_g", "_sb", F.coalesce(before, F.lit(0)).alias("_o"))
+    joined = at.join(offsets, at[group].eqNullSafe(F.col("_g")) & (at["_b"] == F.col("_sb")))
+    own = F.sum("_v").over(Window.partitionBy("_g", "_b").orderBy(ordinal))
+    return joined.withColumn(out, own + F.col("_o")).drop("_b", "_v", "_g", "_sb", "_o")
+
+
 def first_fraction_by(df: DataFrame, group: str, fraction: float, ordinal: str = "ordinal") -> DataFrame:
     """Per group the first ceil(n * fraction) rows in file order, with group_ordinal, the place of the group's first row.
 
@@ -54,20 +71,19 @@ def first_fraction_by(df: DataFrame, group: str, fraction: float, ordinal: str =
     """
     if fraction <= 0:
         raise ValueError("fraction must be positive")
-    w = Window.partitionBy(group)
-    numbered = (
-        df.withColumn("_n", F.count("*").over(w)).withColumn("group_ordinal", F.min(ordinal).over(w)).withColumn("_i", F.row_number().over(w.orderBy(ordinal)))
-    )
+    sizes = df.groupBy(F.col(group).alias("_key")).agg(F.count("*").alias("_n"), F.min(ordinal).alias("group_ordinal"))
+    placed = running_total(df, group, ordinal, F.lit(1), "_i")
+    numbered = placed.join(sizes, placed[group].eqNullSafe(F.col("_key"))).drop("_key")
     kept = numbered if fraction >= 1 else numbered.where(F.col("_i") <= F.ceil(F.col("_n") * F.lit(float(fraction))))
     return kept.drop("_n", "_i")
 
 
-def persona_batches(tasks: DataFrame, size: int, order: list[str | Column], group: str = "persona") -> DataFrame:
-    """tasks with batch_no: their group's chunks of `size` in the given order, from 0."""
+def persona_batches(tasks: DataFrame, size: int, ordinal: str = "ordinal", group: str = "persona") -> DataFrame:
+    """tasks with batch_no: their group's chunks of `size` in order of the ordinal, from 0."""
     if size < 1:
         raise ValueError("size must be at least 1")
-    at = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return tasks.withColumn("batch_no", F.floor((at - 1) / size).cast("bigint"))
+    placed = running_total(tasks, group, ordinal, F.lit(1), "_i")
+    return placed.withColumn("batch_no", F.floor((F.col("_i") - 1) / size).cast("bigint")).drop("_i")
 
 
 def batch_count(tasks: DataFrame, size: int, group: str = "persona") -> DataFrame:
@@ -76,8 +92,9 @@ def batch_count(tasks: DataFrame, size: int, group: str = "persona") -> DataFram
 
 
 def reset_epochs(turns: DataFrame, session: str, order: str, is_reset: Column) -> DataFrame:
-    """turns with epoch: how often the session's history was reset up to and with the turn."""
-    return turns.withColumn("epoch", F.sum(F.when(is_reset, 1).otherwise(0)).over(Window.partitionBy(session).orderBy(order)).cast("bigint"))
+    """turns with epoch: how often the session's history was reset up to and with the turn. order: unique integers."""
+    out = running_total(turns, session, order, F.when(is_reset, 1).otherwise(0), "epoch")
+    return out.withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
 def steps_run(steps: DataFrame, batch: str, seq: str, step: str, is_end: Column) -> DataFrame:

@@ -98,8 +98,8 @@ def run_two_turns(tasks: DataFrame, load: Callable[[], Generate]) -> DataFrame:
 
 
 def batched(tasks: DataFrame, size: int) -> DataFrame:
-    """tasks with the batch they would run in: a persona's chunks of `size`."""
-    return persona_batches(tasks, size, ["prompt_id", "rep_idx"])
+    """tasks (with an ordinal) with the batch they would run in: a persona's chunks of `size`."""
+    return persona_batches(tasks, size)
 
 
 def embed_views(rows: DataFrame, responses: list[str], load: Callable[[], Embed]) -> DataFrame:

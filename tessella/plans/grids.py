@@ -49,7 +49,7 @@ def stratified_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def persona_batches(spark: SparkSession, d: str) -> DataFrame:
-    b = grid.persona_batches(table(spark, d, "results").where("persona is not null"), 64, ["ordinal"])
+    b = grid.persona_batches(table(spark, d, "results").where("persona is not null"), 64)
     return b.groupBy("persona", "batch_no").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
 
 

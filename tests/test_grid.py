@@ -45,12 +45,24 @@ def test_fraction_by_group_keeps_first_seen_order(people):
 
 def test_batches(spark):
     df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 0)], "persona string, n int")
-    got = {(r.persona, r.n): r.batch_no for r in grid.persona_batches(df, 2, ["n"]).collect()}
+    got = {(r.persona, r.n): r.batch_no for r in grid.persona_batches(df.withColumn("ordinal", F.when(F.col("persona") == "b", 99).otherwise(F.col("n"))), 2).collect()}
     assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 2, ("b", 0): 0}
     assert grid.batch_count(df, 2).first().batches == 4
     assert grid.batch_count(df.limit(0), 2).first().batches == 0
 
 
+def test_running_total_over_blocks(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else "hot", i * 7, i % 2) for i in range(300)], "g string, n long, v int")
+    got = {(r.g, r.n): r.t for r in grid.running_total(df, "g", "n", F.col("v"), "t", block=50).collect()}
+    for g in (None, "hot"):
+        total = 0
+        for i in range(300):
+            if (None if i % 3 == 0 else "hot") == g:
+                total += i % 2
+                assert got[g, i * 7] == total
+    assert len(got) == 300
+
+
 def test_reset_and_steps(spark):
     df = spark.createDataFrame([("s", i, i in (2, 4)) for i in range(6)], "s string, i int, r boolean")
     assert [r.epoch for r in grid.reset_epochs(df, "s", "i", F.col("r")).orderBy("i").collect()] == [0, 0, 1, 1, 2, 2]
