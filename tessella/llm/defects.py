@@ -8,8 +8,9 @@ and at least one is a refusal.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-from tessella.llm.language import asked_for, language_chars, segment_language
+from tessella.llm.language import asked_for, language_chars, question_language
 
 #: Shortest tile of words; share of the answer and of the question that tiles must cover; words of framing allowed.
 TILE, COVER, FRAME = 1, 0.8, 4
@@ -185,6 +186,20 @@ def _adds(answer: list[str], question: list[str]) -> bool:
     return sum(w not in own for w in answer) > FRAME
 
 
+@lru_cache(maxsize=20_000)
+def _words_of(question: str) -> list[str]:
+    return _WORD.findall(question.casefold())
+
+
+def _may_copy(question: list[str], output: str) -> bool:
+    """Whether the first words are the question's, but for framing: a quick check that no copy fails."""
+    words = _WORD.findall(output[:200].casefold())
+    if len(output) > 200:
+        words = words[:-1]  # it may be cut
+    own = set(question)
+    return sum(w not in own for w in words) <= FRAME
+
+
 def defect_hint(question: str, output: str | None, languages: dict[str, int]) -> tuple[str | None, bool]:
     """(defect or None, whether the output is an echo of the question's words alone).
 
@@ -192,15 +207,15 @@ def defect_hint(question: str, output: str | None, languages: dict[str, int]) ->
     """
     if output is None:
         return None, False
-    answer = _WORD.findall(output.casefold())
-    if not answer:
+    if not _WORD.search(output):
         return "empty", True
-    asked = _WORD.findall(question.casefold())
+    asked = _words_of(question)
     echo = False
-    if asked and len(answer) <= 4 * (len(asked) + FRAME) and copies_question(asked, answer):
-        # one word may be missing, but not the last: that would be a copy that breaks off
-        echo = answer[-1] == asked[-1]
-        return "copies_question", echo
+    if asked and _may_copy(asked, output):
+        answer = _WORD.findall(output.casefold())
+        if len(answer) <= 4 * (len(asked) + FRAME) and copies_question(asked, answer):
+            # one word may be missing, but not the last: that would be a copy that breaks off
+            return "copies_question", answer[-1] == asked[-1]
     if is_refusal(output):
         return "refusal", echo
     if asked and other_language(question, output, languages):
@@ -210,7 +225,7 @@ def defect_hint(question: str, output: str | None, languages: dict[str, int]) ->
 
 def other_language(question: str, output: str, languages: dict[str, int]) -> bool:
     """Whether most of the answer is in a language other than the question's that the question doesn't ask for."""
-    mine = segment_language(question)
+    mine = question_language(question)
     if not mine:
         return False
     known = {k: n for k, n in languages.items() if k}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import repeat
 
 # Frequent function words of each language, in alphabetical order.
 FUNCTION_WORDS = {
@@ -26,66 +28,82 @@ _ASKED = re.compile(r"\b(" + "|".join(w for v in LANGUAGE_NAMES.values() for w i
 _NAMED = {w: k for k, v in LANGUAGE_NAMES.items() for w in v.split()}
 #: Script ranges that settle the language of a passage by themselves.
 _SCRIPTS = (("ja", re.compile(r"[぀-ヿ㐀-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")))
-_SEGMENT = re.compile(r"(?<=[.!?。…])\s+|\n+")
-_EDGE = ".,;:!?…\"“”«»()[]{}*#`>—-¿¡„‚‘’'"
+_ORDER = ("de", "en", "es", "fr")
+_WHOLE, _BITS = 12, 32
+# Word -> its weight for each language, packed into one number that can be summed: a word of several languages says less for
+# each (12 is divided by up to four languages without rest).
+_packed: dict[str, int] = {}
+for _w in {w for v in FUNCTION_WORDS.values() for w in v.split()}:
+    _of = [i for i, x in enumerate(_ORDER) if _w in FUNCTION_WORDS[x].split()]
+    _packed[_w] = sum(_WHOLE // len(_of) << _BITS * i for i in _of)
+_FRENCH = re.compile(r"(?<![^\W_])(?:[cdjlmnst]|qu)['’][^\W\d_]{2}")
+_MARKS = (("es", "ñóíú"), ("fr", "èêçùœâîûë"), ("de", "äöüß"))
 
-_of: dict[str, tuple[tuple[str, float], ...]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
-    for _w in _words.split():
-        _of[_w] = (*_of.get(_w, ()), (_lang, 1.0))
-# a word of several languages says less for each
-_of = {w: tuple((lang, 1.0 / len(v)) for lang, _ in v) for w, v in _of.items()}
-for _c in "ñ¿¡":
-    _of[_c] = (("es", 1.0),)
 
+def _prepared(text: str) -> str:
+    """Without case, and with one mark, ". ", at the ends of sentences and lines and none inside."""
+    t = text.casefold().replace("! ", ". ").replace("? ", ". ").replace("\n", ". ")
+    return t.replace(",", " ").replace("?", " ").replace(":", " ").replace("(", " ").replace("“", " ")
 
-def scores(segment: str) -> dict[str, float]:
-    """Weight of function words by language; French elisions and Spanish marks count as well."""
+
+def _scores(folded: str) -> dict[str, float]:
+    """Weight of function words by language; French elisions and the letters of a language count as well."""
     out: dict[str, float] = {}
-    get = _of.get
-    for w in segment.casefold().split():
-        w = w.strip(_EDGE)
-        known = get(w)
-        if known is None:
-            if len(w) > 2 and w[1] in "'’" and w[0] in "cdjlmnst" and w[2:3].isalpha() and len(w) > 3:
-                known = (("fr", 1.0),)
-            elif w.startswith(("qu'", "qu’")):
-                known = (("fr", 1.0),)
-            else:
-                continue
-        for lang, x in known:
-            out[lang] = out.get(lang, 0.0) + x
-    if not segment.isascii():
-        if "¿" in segment or "¡" in segment:
+    total = sum(map(_packed.get, folded.split(), repeat(0)))
+    if total:
+        for lang in _ORDER:
+            n = total & (1 << _BITS) - 1
+            if n:
+                out[lang] = n / _WHOLE
+            total >>= _BITS
+    if "'" in folded or "’" in folded:
+        n = len(_FRENCH.findall(folded))
+        if n:
+            out["fr"] = out.get("fr", 0.0) + n
+    if not folded.isascii():
+        if "¿" in folded or "¡" in folded:
             out["es"] = out.get("es", 0.0) + 2
-        for lang, chars in (("es", "ñóíú"), ("fr", "èêçùœâîûë"), ("de", "äöüß")):
-            n = sum(segment.count(c) for c in chars)
+        for lang, chars in _MARKS:
+            n = sum(map(folded.count, chars))
             if n:
                 out[lang] = out.get(lang, 0.0) + 0.5 * n
     return out
 
 
-def segment_language(segment: str) -> str:
-    """Language of one sentence or line, "" where nothing tells."""
-    if not segment.isascii():
-        letters = sum(map(str.isalpha, segment))
+def _language(folded: str) -> str:
+    if not folded.isascii():
+        letters = sum(map(str.isalpha, folded))
         for lang, script in _SCRIPTS:
-            if len(script.findall(segment)) * 2 > letters > 0:
+            if len(script.findall(folded)) * 2 > letters > 0:
                 return lang
-    found = scores(segment)
-    return max(found, key=lambda k: (found[k], k)) if found else ""
+    found = _scores(folded)
+    if len(found) < 2:
+        return next(iter(found), "")
+    return max(found, key=lambda k: (found[k], k))
+
+
+def segment_language(segment: str) -> str:
+    """Language of one short text, "" where nothing tells."""
+    return _language(_prepared(segment).replace(".", " "))
 
 
 def language_chars(text: str) -> dict[str, int]:
     """Characters of the text by language of the sentence or line that they stand in; "" where nothing tells."""
     out: dict[str, int] = {}
-    for s in _SEGMENT.split(text):
+    for s in _prepared(text).rstrip(".").split(". "):
         if s:
-            lang = segment_language(s)
-            out[lang] = out.get(lang, 0) + len(s) + 1
+            lang = _language(s)
+            out[lang] = out.get(lang, 0) + len(s) + 2
     return out
 
 
+@lru_cache(maxsize=20_000)
+def question_language(question: str) -> str:
+    """segment_language of a question; questions come again and again."""
+    return segment_language(question)
+
+
+@lru_cache(maxsize=20_000)
 def asked_for(question: str) -> set[str]:
     """Languages that the question names."""
     return {_NAMED[w] for w in _ASKED.findall(question.casefold())}
