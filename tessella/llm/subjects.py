@@ -74,7 +74,7 @@ class Featuriser:
         if n is None:
             if len(self.known) > 2_000_000:
                 self.known.clear()
-            n = self.known[x] = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) % FEATURES
+            n = self.known[x] = xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass"))
         return n
 
     def __call__(self, text: str) -> list[list[int]]:
@@ -83,8 +83,9 @@ class Featuriser:
             w = words(s)
             if len(w) < 2 or self.patterns and self.patterns.hits(w):
                 continue
-            n = self._number
-            out.append([n(x) for x in w] + [n(f"{a} {b}") for a, b in zip(w, w[1:])])
+            n = list(map(self._number, w))
+            # a pair's number is mixed from its words' numbers, so that no strings are made for pairs
+            out.append([x % FEATURES for x in n] + [((a * 0x9E3779B1 ^ b) * 0x85EBCA6B >> 21) % FEATURES for a, b in zip(n, n[1:])])
         return out
 
 
