@@ -61,7 +61,7 @@ def previews(spark: SparkSession, d: str) -> DataFrame:
 
 def first_diff_char(spark: SparkSession, d: str) -> DataFrame:
     """Where the first and the second answer of a row begin to differ."""
-    rows = table(spark, d, "consistency_results").select("ordinal", F.substring("response1", 1, 200).alias("a"), F.substring("response2", 1, 200).alias("b"))
+    rows = table(spark, d, "consistency_results").select("ordinal", F.col("response1").alias("a"), F.col("response2").alias("b"))
     return rows.select("ordinal", text.first_difference(F.col("a"), F.col("b")).cast("bigint").alias("at"))
 
 

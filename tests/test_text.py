@@ -84,3 +84,12 @@ def test_small_helpers(spark):
     assert one(spark, text.gpu_sample(F.col("p")), p="a, b ,c,d,e,f,g,h") == ["a", "b", "c", "d", "e", "f", "g"]
     assert one(spark, text.gpu_sample(F.col("p")), p="a,b") is None
     assert one(spark, text.preview(F.col("p"), 3), p="abcd") == "abc..."
+
+
+def test_first_diff_char_past_any_prefix(spark, tmp_path):
+    from tessella.plans.texts import first_diff_char
+
+    rows = [(1, "a" * 300 + "b", "a" * 300 + "c"), (2, "a" * 201, "a" * 300), (3, "é" * 1000 + "x", "é" * 1000 + "y"), (4, None, "a"), (5, "ab", "cb")]
+    spark.createDataFrame(rows, "ordinal long, response1 string, response2 string").write.parquet(str(tmp_path / "consistency_results.parquet"))
+    want = {n: None if a is None else next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), None) for n, a, b in rows}
+    assert {r.ordinal: r["at"] for r in first_diff_char(spark, str(tmp_path)).collect()} == want
