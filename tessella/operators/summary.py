@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import number, pearson, pvalue
+from tessella.session import materialise
 
 # Labels of the metrics in charts.
 LABELS = {"_thinking": "Thinking", "_output": "Output", "": "Overall"}
@@ -105,5 +106,21 @@ def ranked(df: DataFrame, columns: list[str], by: list[Column]) -> DataFrame:
     return df.select(*columns).orderBy(*by)
 
 
+def places(df: DataFrame, groups: list[str], by: list[Column], name: str) -> DataFrame:
+    """df with each row's place, from 1, in its group by an order. Rows with a null group are left out.
+
+    The table is sorted in ranges, so a hot group is spread over tasks. A row's place is its place in its range, less the
+    group's first there, plus the group's rows in earlier ranges; these counts are a row per group and range.
+    """
+    keep = df.dropna(subset=groups).repartitionByRange(*[F.asc(g) for g in groups], *by).sortWithinPartitions(*[F.asc(g) for g in groups], *by)
+    at = F.monotonically_increasing_id()
+    ranges = materialise(keep.withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = ranges.groupBy(*groups, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    joined = ranges.join(starts, [*groups, "_range"])
+    return joined.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_range", "_at", "_first", "_before")
+
+
 def distinct_sorted(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)

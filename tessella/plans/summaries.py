@@ -106,12 +106,19 @@ def prompts_with_data(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variance_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Personas of each prompt and column by variance, for a chart: ranks instead of an order, as a table keeps none."""
+    """The ends of each prompt and column's ranking: personas with the highest and lowest variance. All ranks: variance_ranks."""
     v = _variance(spark, d).select("prompt_id", "embedding_column", "persona", number("total_variance").alias("v")).dropna()
     best = v.groupBy("prompt_id", "embedding_column").agg(F.max(F.struct("v", "persona")).alias("top"), F.min(F.struct("v", "persona")).alias("low"), F.count("*").alias("n"))
     return rounded(best.select("prompt_id", "embedding_column", "n", F.col("top.v").alias("highest"), F.col("low.v").alias("lowest"), F.col("top.persona").alias("highest_persona"), F.col("low.persona").alias("lowest_persona")))
 
 
+def variance_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Every persona of each prompt and column by descending variance, for a chart: ranks instead of an order, as a table keeps none."""
+    v = _variance(spark, d).select("prompt_id", "embedding_column", "persona", number("total_variance").alias("total_variance")).dropna()
+    ranked = summary.places(v, ["prompt_id", "embedding_column"], [F.desc("total_variance"), F.asc("persona")], "rank_no")
+    return rounded(ranked.select("prompt_id", "embedding_column", "persona", "total_variance", "rank_no"))
+
+
 def variance_sorted(spark: SparkSession, d: str) -> DataFrame:
     rows = _variance(spark, d).where("embedding_column = 'embedding_response2_full'").withColumn("total_variance", number("total_variance"))
     by = [F.asc("prompt_id"), F.desc("total_variance"), F.asc("persona")]
@@ -151,7 +158,7 @@ def _corr_cell(a: str, b: str) -> str:
 
 QUERIES = {f.__name__: f for f in (
     melt_metrics, entropy_summary, mass_summary, thinking_summary, drill_down_summary, category_filter, box_stats, violin_density, correlation_matrix, correlation_pvalues,
-    dataset_info, category_list, variance_info, variance_filtered, prompt_stats, prompt_titles, prompts_with_data, variance_ranking, variance_sorted, variance_records,
+    dataset_info, category_list, variance_info, variance_filtered, prompt_stats, prompt_titles, prompts_with_data, variance_ranking, variance_ranks, variance_sorted, variance_records,
 )}
 _IN = "category IN ('beast', 'scholar')"
 SQL = {
@@ -185,6 +192,10 @@ SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, embedding_column ORDER BY v DESC, persona DESC) AS a, row_number() OVER (PARTITION BY prompt_id, embedding_column ORDER BY v, persona) AS b
             FROM v WHERE prompt_id IS NOT NULL AND embedding_column IS NOT NULL AND persona IS NOT NULL AND v IS NOT NULL)
         SELECT prompt_id, embedding_column, count(*) AS n, {sql_round('max(v)', 'highest')}, {sql_round('min(v)', 'lowest')}, max(persona) FILTER (a = 1) AS highest_persona, max(persona) FILTER (b = 1) AS lowest_persona FROM r GROUP BY ALL""",
+    "variance_ranks": f"""
+        WITH v AS (SELECT prompt_id, embedding_column, persona, {sql_number('total_variance')} AS v FROM embedding_variance)
+        SELECT prompt_id, embedding_column, persona, {sql_round('v', 'total_variance')}, row_number() OVER (PARTITION BY prompt_id, embedding_column ORDER BY v DESC, persona) AS rank_no
+        FROM v WHERE prompt_id IS NOT NULL AND embedding_column IS NOT NULL AND persona IS NOT NULL AND v IS NOT NULL""",
     "variance_sorted": f"SELECT prompt_id, persona, {sql_round(sql_number('total_variance'), 'total_variance')}, n_samples FROM embedding_variance WHERE embedding_column = 'embedding_response2_full'",
     "variance_records": f"""
         WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings), v AS (SELECT label, d, var_samp(v) AS s, count(*) AS n FROM x GROUP BY label, d)

@@ -88,3 +88,14 @@ def test_columns_and_lookups(spark):
     look = spark.createDataFrame([("p", "old", 0), ("p", "new", 1)], "persona string, category string, ordinal int")
     got = variance.variance_records(df, ["prompt_id", "persona"], ["embedding_x"], {"persona": (look, "category", "unknown")}).collect()
     assert {(r.prompt_id, r.category, r.total_variance) for r in got} == {(1, "new", 2.0), (2, "unknown", None)}
+
+
+def test_variance_ranks_of_a_hot_prompt(spark, tmp_path):
+    from tessella.plans.summaries import variance_ranks
+
+    rows = [(7, "e", f"p{i:04d}", float(i * 37 % 500)) for i in range(2000)] + [(8, "e", "a", 1.0), (8, "e", "b", 2.0), (8, "e", "c", None), (None, "e", "a", 1.0), (8, "f", "a", float("nan"))]
+    spark.createDataFrame(rows, "prompt_id long, embedding_column string, persona string, total_variance double").write.parquet(str(tmp_path / "embedding_variance.parquet"))
+    hot = sorted(rows[:2000], key=lambda r: (-r[3], r[2]))
+    want = {(7, p): i for i, (*_, p, _) in enumerate(hot, 1)} | {(8, "b"): 1, (8, "a"): 2}
+    got = variance_ranks(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.prompt_id, r.persona): r.rank_no for r in got} == want
