@@ -70,6 +70,7 @@ def _scores(folded: str) -> dict[str, float]:
     return out
 
 
+@lru_cache(maxsize=50_000)
 def _language(folded: str) -> str:
     if not folded.isascii():
         letters = sum(map(str.isalpha, folded))
@@ -79,7 +80,8 @@ def _language(folded: str) -> str:
     found = _scores(folded)
     if len(found) < 2:
         return next(iter(found), "")
-    return max(found, key=lambda k: (found[k], k))
+    first, second = sorted(found, key=lambda k: (-found[k], k))[:2]
+    return first if found[first] > found[second] else ""
 
 
 def segment_language(segment: str) -> str:

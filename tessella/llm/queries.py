@@ -27,14 +27,19 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two).join(runs, "run_id", "left")
 
 
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a second system holds them: not judged, but some are longer than their copies."""
+    return table(spark, sf_dir, "results_copy").select(F.col("response").alias("text"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = truncated(_answers(spark, sf_dir))
+    found = truncated(_answers(spark, sf_dir), _copies(spark, sf_dir))
     return found.select(F.col("source").alias("source_table"), "ordinal", F.when(F.col("source") == "results", "response").otherwise("response2").alias("field"))
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the answers of each run are cut, and by which evidence."""
-    by = judged(_answers(spark, sf_dir)).groupBy("source", "run_id", F.coalesce("evidence", F.lit("whole")).alias("evidence")).agg(F.count("*").alias("n"))
+    by = judged(_answers(spark, sf_dir), others=_copies(spark, sf_dir)).groupBy("source", "run_id", F.coalesce("evidence", F.lit("whole")).alias("evidence")).agg(F.count("*").alias("n"))
     total = by.groupBy("source", "run_id").agg(F.sum("n").alias("answers"))
     return by.alias("b").join(total.alias("t"), F.expr("b.source = t.source and b.run_id <=> t.run_id")).select(
         "b.source", "b.run_id", "evidence", "n", "answers", (F.col("n") / F.col("answers")).alias("share")
@@ -48,7 +53,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = judged(_answers(spark, sf_dir), hints=True)
+    seen = judged(_answers(spark, sf_dir), hints=True, others=_copies(spark, sf_dir))
     defect = F.when(F.col("truncated"), F.lit("truncated")).otherwise(F.col("hint"))
     return seen.select(F.col("source").alias("source_table"), "ordinal", defect.alias("defect")).where("defect is not null")
 

@@ -10,6 +10,8 @@ _OPENS = frozenset(_CLOSES.values())
 _PARTIAL_TAG = re.compile(r"</?(?:t(?:h(?:i(?:nk?)?)?)?)?�?\s*\Z")
 #: A list marker at the start of a line.
 LIST_ITEM = re.compile(r"\s*(?:[-*•+]|\d{1,3}[.)])\s")
+#: How a line of signature begins.
+SIGNATURE = ("— ", "-- ", "– ")
 _BARE_MARKER = re.compile(r"\s*(?:[-*•+]|\d{1,3}[.)]?)\s*\Z")
 
 
@@ -75,6 +77,6 @@ def ending(text: str) -> str:
         return "mark"
     if LIST_ITEM.match(line):
         return "list"
-    if line.startswith(("— ", "-- ", "– ")):
+    if line.startswith(SIGNATURE):
         return "signature"
     return "bare"
