@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,11 +73,25 @@ def render_chat(messages: Column, prefix: Column | None = None) -> Column:
     return F.concat(F.array_join(turns, ""), F.lit("") if prefix is None else prefix)
 
 
+def _first_differences(a: pd.Series, b: pd.Series) -> pd.Series:
+    def at(x: str | None, y: str | None) -> int | None:
+        if x is None or y is None or x.startswith(y) or y.startswith(x):
+            return None
+        lo, hi = 0, min(len(x), len(y))  # equal up to lo, not up to hi
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid)
+        return lo
+
+    return pd.Series([at(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
 def first_difference(a: Column, b: Column) -> Column:
-    """Index of the first differing character, from 0; null where one text is a prefix of the other, or either is null."""
-    n = F.least(F.length(a), F.length(b))
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(places, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), F.lit(0)) - 1
+    """Index of the first differing character, from 0; null where one text is a prefix of the other, or either is null.
+
+    Halving what is still in doubt looks at each character once or twice, however long the texts are.
+    """
+    return F.pandas_udf(_first_differences, "bigint")(a, b)
 
 
 def preview(c: Column, n: int, mark: str = "...") -> Column:
@@ -103,6 +118,33 @@ def command_of(text: Column) -> Column:
     return F.when(F.startswith(line, F.lit("/")), F.struct(F.lower(F.regexp_extract(line, r"^(\S+)", 1)).alias("verb"), plain.alias("args")))
 
 
+# Commands of the chat loop; those that take a text, and those that clear the history.
+COMMANDS = ("/clear", "/help", "/nothinking", "/persona", "/system", "/thinking", "/tokens")
+TEXT_COMMANDS, CLEARING = ("/persona", "/system"), ("/clear", "/persona", "/system")
+
+
+def command_result(text: Column) -> Column:
+    """What a line does in the chat loop: struct (handled, verb, known, problem, value, number, clears_history).
+
+    handled: whether it is a command at all; problem: "unknown", or "usage" where what the verb needs is missing or no number;
+    value: the new persona or system prompt; number: the new token limit, null where /tokens only asks for it.
+    """
+    line = strip(text)
+    bare = ~line.rlike(rf"(?s)^\S+{BLANK}+\S")
+    c = command_of(text)
+    verb = c["verb"]
+    takes = verb.isin(*TEXT_COMMANDS)
+    digits = F.when((verb == "/tokens") & ~bare, F.regexp_extract(c["args"], r"^([+-]?\d+)$", 1))
+    number = F.when(digits != "", digits.try_cast("bigint"))
+    bad_number = (verb == "/tokens") & ~bare & (F.coalesce(number, F.lit(0)) <= 0)
+    problem = F.when(~verb.isin(*COMMANDS), "unknown").when(takes & bare | bad_number, "usage")
+    return F.struct(
+        F.startswith(line, F.lit("/")).alias("handled"), verb.alias("verb"), verb.isin(*COMMANDS).alias("known"), problem.alias("problem"),
+        F.when(takes & ~bare, c["args"]).alias("value"), F.when(~bad_number, number).alias("number"),
+        F.coalesce(verb.isin(*CLEARING) & problem.isNull(), F.lit(False)).alias("clears_history"),
+    )
+
+
 def parent_dir(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 

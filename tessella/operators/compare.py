@@ -6,26 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import bin_number, number, pearson, share
+from tessella.operators.ranks import exact_percentiles
+from tessella.session import materialise
 
 KEY = ["persona", "prompt_id", "rep_idx"]
 METRICS = ["avg_entropy", "avg_entropy_thinking", "avg_entropy_output", "avg_top_k_mass", "avg_top_k_mass_thinking", "avg_top_k_mass_output"]
 FIELDS = ["prompt", "response", *METRICS, "num_tokens", "think_end_position"]
+#: Fields of which a comparison needs only whether they are equal, and how long they are.
+TEXTS = ("prompt", "response")
 #: Difference below which an entropy that should be at least as large is an anomaly.
 ANOMALY = -0.001
 
 
-def latest(df: DataFrame, key: list[str] = KEY, order: str = "ordinal", fields: list[str] = FIELDS) -> DataFrame:
-    """(key..., fields...) of the last line of each key in file order. Lines with a null in the key are left out.
+def text_id(c: Column | str) -> Column:
+    """What stands for a text where only equality and length count: 128 bits of hash and the length; null for null."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"), F.length(c).alias("chars")))
 
-    Partial maxima on the map side keep a key that holds many lines from gathering in one task.
+
+def latest(df: DataFrame, fields: list[str], key: list[str] = KEY, order: str = "ordinal") -> DataFrame:
+    """(key..., fields...) of the last line of each key in file order; texts as text_id(). Lines with a null in the key are
+    left out.
+
+    Only the fields asked for are read and shuffled. Partial maxima on the map side keep a key that holds many lines from
+    gathering in one task.
     """
     kept = df.dropna(subset=key)
-    return kept.groupBy(*key).agg(F.max_by(F.struct(*fields), order).alias("_r")).select(*key, "_r.*")
+    carried = F.struct(*[(text_id(f) if f in TEXTS else F.col(f)).alias(f) for f in fields])
+    return kept.groupBy(*key).agg(F.max_by(carried, order).alias("_r")).select(*key, "_r.*")
 
 
-def pairs(a: DataFrame, b: DataFrame, key: list[str] = KEY, fields: list[str] = FIELDS) -> DataFrame:
-    """(key..., <field>_a, <field>_b) of the keys that both runs have."""
-    left, right = (latest(d, key, fields=fields).withColumnsRenamed({f: f"{f}_{s}" for f in fields}) for d, s in ((a, "a"), (b, "b")))
+def pairs(a: DataFrame, b: DataFrame, fields: list[str], key: list[str] = KEY) -> DataFrame:
+    """(key..., <field>_a, <field>_b) of the keys that both runs have; texts as text_id()."""
+    left, right = (latest(d, fields, key).withColumnsRenamed({f: f"{f}_{s}" for f in fields}) for d, s in ((a, "a"), (b, "b")))
     return left.join(right, key)
 
 
@@ -48,9 +61,11 @@ def class_counts(paired: DataFrame) -> DataFrame:
     """(pair_class, n, matched, percent): counts of the classes among pairs with entropies, against all matched pairs."""
     entropies = number("avg_entropy_a").isNotNull() & number("avg_entropy_b").isNotNull()
     classed = with_class(paired)
-    counts = classed.groupBy("pair_class").agg(F.count_if(entropies).alias("n"), F.count("*").alias("m"))
-    total = counts.agg(F.sum("m").alias("matched"))
-    return counts.crossJoin(F.broadcast(total)).select("pair_class", "n", "matched", (F.col("n") / F.col("matched") * 100).alias("percent"))  # one row
+    # one line for all classes, so that the total needs no second pass
+    kinds = ("different_response", "same_text_diff_tokens", "truly_identical")
+    of = [F.struct(F.lit(k).alias("pair_class"), F.count_if((F.col("pair_class") == k) & entropies).alias("n"), F.count_if(F.col("pair_class") == k).alias("m")) for k in kinds]
+    one = classed.agg(F.count("*").alias("matched"), F.array(*of).alias("k")).select("matched", F.explode("k").alias("k")).where("k.m > 0")
+    return one.select("k.pair_class", "k.n", "matched", (F.col("k.n") / F.col("matched") * 100).alias("percent"))
 
 
 def metric_stats(paired: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
@@ -70,7 +85,7 @@ def metric_stats(paired: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
 def response_agreement(paired: DataFrame) -> DataFrame:
     """One row: identical and different responses, and the mean and deviation of the difference in characters (b - a)."""
     same = F.col("response_a").eqNullSafe(F.col("response_b"))
-    length = F.when(~same, F.length("response_b") - F.length("response_a"))
+    length = F.when(~same, F.col("response_b.chars") - F.col("response_a.chars"))
     return paired.agg(
         F.count_if(same).alias("identical"), F.count_if(~same).alias("different"),
         (F.try_divide(F.count_if(same), F.count("*")) * 100).alias("identical_percent"),
@@ -97,26 +112,30 @@ def ratio_of_means(paired: DataFrame) -> DataFrame:
 
 def diff_percentiles(paired: DataFrame, ps: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """(pair_class, p, diff, rel): exact percentiles, interpolated, of the differences of each class."""
-    grouped = with_entropy(with_class(paired)).groupBy("pair_class")
-    lists = grouped.agg(F.percentile("diff", F.lit(list(ps))).alias("d"), F.percentile("rel", F.lit(list(ps))).alias("r"))
-    rows = F.arrays_zip(F.lit(list(ps)).alias("p"), F.col("d").alias("diff"), F.col("r").alias("rel"))
-    return lists.select("pair_class", F.explode(rows).alias("x")).select("pair_class", "x.*")
+    long = with_entropy(with_class(paired)).select("pair_class", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in ("diff", "rel")])).alias("v"))
+    q = exact_percentiles(long.select("pair_class", "v.c", "v.x"), ["pair_class", "c"], "x", ps)
+    rows = q.select("pair_class", "c", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), "q")).alias("x"))
+    wide = rows.groupBy("pair_class", F.col("x.p").alias("p")).pivot("c", ["diff", "rel"]).agg(F.first("x.q"))
+    return wide.select("pair_class", "p", "diff", "rel")
 
 
 def class_summary(paired: DataFrame) -> DataFrame:
     """Per class: n; mean, deviation, median, extremes, range and coefficient of variation of the difference; shares by
     sign; mean percentage; correlation; mean and deviation of the top-k mass difference."""
     mass = number("avg_top_k_mass_b") - number("avg_top_k_mass_a")
+    rows = materialise(with_entropy(with_class(paired)).select("pair_class", "entropy_a", "entropy_b", "diff", "rel", mass.alias("mass_diff")))
+    medians = exact_percentiles(rows, ["pair_class"], "diff", (0.5,)).select("pair_class", F.get("q", F.lit(0)).alias("median"))
     return (
-        with_entropy(with_class(paired)).withColumn("mass_diff", mass).groupBy("pair_class")
+        rows.groupBy("pair_class")
         .agg(
-            F.count("*").alias("n"), F.avg("diff").alias("mean"), F.stddev_pop("diff").alias("std"), F.median("diff").alias("median"),
+            F.count("*").alias("n"), F.avg("diff").alias("mean"), F.stddev_pop("diff").alias("std"),
             F.min("diff").alias("min"), F.max("diff").alias("max"), (F.max("diff") - F.min("diff")).alias("range"),
             (F.try_divide(F.stddev_pop("diff"), F.avg("diff")) * 100).alias("cv_percent"),
             share(F.col("diff") > 0).alias("positive_percent"), share(F.col("diff") < 0).alias("negative_percent"),
             F.avg("rel").alias("mean_rel"), F.stddev_pop("rel").alias("std_rel"), pearson(F.col("entropy_a"), F.col("entropy_b")).alias("corr"),
             F.avg("mass_diff").alias("mass_mean"), F.stddev_pop("mass_diff").alias("mass_std"),
         )
+        .join(F.broadcast(medians), "pair_class")
     )
 
 
@@ -147,21 +166,26 @@ def extremes(rows: DataFrame, by: Column, n: int, key: list[str] = KEY) -> DataF
     return rows.orderBy(by, *key).limit(n)
 
 
-def histogram(values: DataFrame, x: str, bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
+def histogram(values: DataFrame, x: str, bins: int, lo: float | None = None, hi: float | None = None, by: str | None = None) -> DataFrame:
     """(bin, lower, upper, n): counts of x in equal bins of [lo, hi], by default of its whole range; empty bins count 0.
 
     Bins are closed on the left, the last on both sides; values outside and nulls are left out. Where all values are
-    equal, the range is widened by one half on either side.
+    equal, the range is widened by one half on either side. by: a boolean column, for a histogram of each of its values.
     """
-    present = values.select(number(x).alias("x")).where("x is not null")
+    spark = values.sparkSession
+    flag = F.lit(True) if by is None else F.col(by)
+    present = values.select(number(x).alias("x"), flag.alias("by")).where("x is not null")
     if lo is None or hi is None:
+        present = materialise(present)
         r = present.agg(F.min("x").alias("a"), F.max("x").alias("b"))
         same = F.col("a") == F.col("b")
         bounds = r.select(F.when(same, F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"), F.when(same, F.col("b") + 0.5).otherwise(F.col("b")).alias("hi"))
     else:
-        bounds = values.sparkSession.range(1).select(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-    at = present.crossJoin(F.broadcast(bounds)).select(bin_number(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))  # bounds: one row
-    counts = at.where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
-    frame = bounds.where("lo is not null").select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        bounds = spark.range(1).select(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+    at = present.crossJoin(F.broadcast(bounds)).select("by", bin_number(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))  # bounds: one row
+    counts = at.where("bin is not null").groupBy("by", "bin").agg(F.count("*").alias("n"))
+    flags = F.array(F.lit(True)) if by is None else F.array(F.lit(True), F.lit(False))
+    frame = bounds.where("lo is not null").select("lo", "hi", F.explode(flags).alias("by")).select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     edge = lambda i: F.col("lo") + i * ((F.col("hi") - F.col("lo")) / F.lit(float(bins)))
-    return frame.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    shown = [] if by is None else [F.col("by").alias(by)]
+    return frame.join(counts, ["by", "bin"], "left").select("bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), *shown)

@@ -6,12 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import system_prompt
+from tessella.operators.ranks import values_at
+from tessella.session import materialise
 
 TASK_KEY = ["persona", "prompt_id", "rep_idx"]
 #: Consecutive ordinals whose rows are ordered together.
 BLOCK = 65_536
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "ordinal") -> DataFrame:
+    """df with the place of each row, from 0, in a total order.
+
+    The table is sorted in ranges, and a row's number is its place in its range plus the rows of earlier ranges: no task sees
+    more than a range.
+    """
+    at = F.monotonically_increasing_id()
+    ranges = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = ranges.groupBy("_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = counts.select("_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_start"))
+    return ranges.join(F.broadcast(starts), "_range").withColumn(name, F.col("_at") + F.col("_start")).drop("_range", "_at", "_start")
+
+
 def task_grid(personae: DataFrame, prompts: DataFrame, repetitions: int, rep: str = "rep_idx", style: str = "you-are-a") -> DataFrame:
     """personae x prompts x repetitions with a system prompt each; a task's number orders by persona, prompt, repetition.
 
@@ -30,16 +46,23 @@ def remaining_tasks(tasks: DataFrame, done: DataFrame, key: list[str] = TASK_KEY
     return tasks.join(done.select(*key).distinct(), key, "left_anti")
 
 
+def finished_tasks(done: DataFrame, personae: DataFrame, prompts: DataFrame, repetitions: int, rep: str = "rep_idx") -> DataFrame:
+    """(persona, prompt_id, rep) of the finished rows that the grid of personae, prompts and repetitions has. The grid itself is
+    never built: a key is in it if each of its parts is known."""
+    keys = done.select("persona", "prompt_id", rep).where(F.col(rep).between(0, repetitions - 1)).distinct()
+    return keys.join(personae, "persona", "left_semi").join(prompts, "prompt_id", "left_semi").select("persona", "prompt_id", rep)
+
+
 def first_fraction(df: DataFrame, fraction: float, ordinal: str = "ordinal") -> DataFrame:
     """The first ceil(n * fraction) rows in file order; all for a fraction of 1 or more."""
     if fraction <= 0:
         raise ValueError("fraction must be positive")
     if fraction >= 1:
         return df
-    # the row that the cutoff falls on is found by counting rows per ordinal range, not by numbering all rows in one task
-    n = df.count()
-    keep = _ceil(n, fraction)
-    cut = df.select(ordinal).orderBy(ordinal).limit(keep).agg(F.max(ordinal).alias("_cut"))
+    keep = _ceil(df.count(), fraction)
+    rows = df.select(F.struct(F.lit(0)).alias("g"), F.col(ordinal).cast("bigint").alias("code"))
+    last = df.sparkSession.range(1).select(F.struct(F.lit(0)).alias("g"), F.lit(keep - 1).cast("bigint").alias("rank"))
+    cut = values_at(rows, last).select(F.col("code").alias("_cut"))  # the last row's ordinal, found by counting
     return df.join(F.broadcast(cut), F.col(ordinal) <= F.col("_cut")).drop("_cut")  # a single row
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import number, pearson, pvalue
-from tessella.session import materialise
+from tessella.operators.ranks import exact_percentiles
+from tessella.session import materialise, ship
 
 # Labels of the metrics in charts.
 LABELS = {"_thinking": "Thinking", "_output": "Output", "": "Overall"}
@@ -17,6 +18,18 @@ def category_filter(df: DataFrame, categories: list[str], column: str = "categor
     return df.where(F.col(column).isin(categories)) if categories else df
 
 
+def chosen(df: DataFrame, choices: dict[str, list]) -> DataFrame:
+    """Rows whose columns have one of the values chosen for each; an empty choice is none. Null is never chosen."""
+    for column, values in choices.items():
+        df = category_filter(df, values, column)
+    return df
+
+
+def report(section: str, df: DataFrame) -> DataFrame:
+    """(section, metric, value) of a one-row table of numbers: its columns as lines."""
+    return df.select(*[F.col(c).cast("double").alias(c) for c in df.columns]).unpivot([], df.columns, "metric", "value").select(F.lit(section).alias("section"), "metric", "value")
+
+
 def drill_down(df: DataFrame, category: str | None) -> tuple[DataFrame, str]:
     """One category's rows grouped by persona, or all rows grouped by category."""
     return (df, "category") if category is None else (df.where(F.col("category") == category), "persona")
@@ -31,31 +44,39 @@ def melt_metrics(df: DataFrame, metric: str, ids: list[str]) -> DataFrame:
 
 
 def group_summary(df: DataFrame, group: str, columns: list[str], digits: int = 4, extremes: bool = False) -> DataFrame:
-    """Mean, sample deviation and median (and extremes) of each column by group, rounded half to even; null groups are left out."""
-    aggs = []
+    """Mean, sample deviation and median (and extremes) of each column by group, rounded half to even; null groups are left out.
+
+    Medians are exact, by counting.
+    """
+    rows = df.where(F.col(group).isNotNull())
+    aggs, shown = [], []
     for c in columns:
         x = number(c)
-        stats = [("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("median", F.median(x))]
-        stats += [("min", F.min(x)), ("max", F.max(x))] if extremes else []
-        aggs += [F.bround(v, digits).alias(f"{c}_{k}") for k, v in stats]
-    return df.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
+        stats = [("mean", F.avg(x)), ("std", F.stddev_samp(x))] + ([("min", F.min(x)), ("max", F.max(x))] if extremes else [])
+        aggs += [v.alias(f"{c}_{k}") for k, v in stats]
+        shown += [F.bround(f"{c}_{k}", digits).alias(f"{c}_{k}") for k, _ in stats] + [F.bround(f"m.{c}_median", digits).alias(f"{c}_median")]
+    long = rows.select(F.col(group).alias("g"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), number(c).alias("x")) for c in columns])).alias("v")).select("g", "v.c", "v.x")
+    medians = exact_percentiles(long, ["g", "c"], "x", (0.5,)).groupBy("g").pivot("c", columns).agg(F.first(F.get("q", F.lit(0))))
+    medians = medians.select(F.col("g").alias("_key"), *[F.col(f"`{c}`").alias(f"{c}_median") for c in columns])
+    stats = rows.groupBy(group).agg(*aggs)
+    return stats.join(medians.alias("m"), F.col(group) == F.col("m._key"), "left").select(group, *shown)
 
 
 def box_stats(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Quartiles, mean and the whiskers (the outermost values within 1.5 interquartile ranges) by group.
 
-    Quartiles are exact and interpolated. The whiskers take a second pass over the values, joined with their fences.
+    Quartiles are exact and interpolated, found by counting. The whiskers take a second pass over the values, joined with
+    their fences.
     """
     rows = df.select(*groups, number(value).alias("x")).where("x is not null")
-    q = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit([0.25, 0.5, 0.75])).alias("q"))
-    fences = q.select(
-        *groups, "n", "mean", *[F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))]
-    ).withColumns({"lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
+    q = exact_percentiles(rows, groups, "x", (0.25, 0.5, 0.75))
+    fences = q.select(*groups, "n", *[F.col("q")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))])
+    fences = fences.withColumns({"lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     same = " and ".join(f"r.`{g}` <=> f.`{g}`" for g in groups)
     joined = rows.alias("r").join(fences.alias("f"), F.expr(same)).select("r.x", "f.*")
     inside = F.when((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.col("x"))
-    return joined.groupBy(*groups, "n", "mean", "q1", "median", "q3").agg(
-        F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), F.count_if(inside.isNull()).alias("outliers")
+    return joined.groupBy(*groups, "n", "q1", "median", "q3").agg(
+        F.avg("x").alias("mean"), F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), F.count_if(inside.isNull()).alias("outliers")
     )
 
 
@@ -82,6 +103,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
     All coefficients come from one pass; only the finished rows go through the p-value function.
     """
+    ship(df.sparkSession)
     aggs = []
     for i, a in enumerate(columns):
         for j, b in enumerate(columns):

@@ -32,10 +32,9 @@ def variance_records(df: DataFrame, keys: list[str], columns: list[str], lookups
     lookups: key column -> (table with key and value, value column, value where the key is missing). Duplicate keys of a
     lookup: the last by its `ordinal` counts.
     """
-    parts = [total_variance(df, keys, c).withColumn("embedding_column", F.lit(c)) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("embedding_column"), F.col(c).alias("_v")) for c in columns])).alias("e")
+    long = df.select(*keys, each).select(*keys, "e.*")  # all columns in one pass
+    out = total_variance(long, [*keys, "embedding_column"], "_v")
     for key, (look, value, missing) in (lookups or {}).items():
         last = look.groupBy(key).agg(F.max_by(value, "ordinal").alias(value))
         out = out.join(last, key, "left")

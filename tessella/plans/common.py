@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.grid import numbered
 from tessella.session import table
 
 DIGITS = 6
@@ -19,11 +20,6 @@ def sql_round(expr: str, alias: str, digits: int = DIGITS) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {alias}"
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with an ordinal, for small tables (personae, prompts) that stand in for ordered files."""
-    return df.withColumn("ordinal", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-
-
 def personae(spark, sf_dir: str) -> DataFrame:
     return numbered(table(spark, sf_dir, "personae"), "persona")
 

@@ -30,6 +30,17 @@ def truncated_entropy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t.select("vec_id", e.alias("entropy"), m.alias("top_k_mass")))
 
 
+def logprob_section_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Section metrics from maps of the 20 largest log-probabilities, token by token, as an engine returns them."""
+    t = _tokens(spark, d)
+    pairs = F.transform("lp", lambda v, i: F.struct(v.alias("lp"), i.alias("token")))
+    best = F.transform(dist.largest(pairs, TRUNCATED), lambda e: F.struct(e["token"], e["lp"]))
+    t = t.withColumn("logprobs", F.map_from_entries(best))
+    e, m = dist.entropy_of_logprobs(F.map_values("logprobs")), dist.top_k_mass_of_logprobs(F.map_values("logprobs"), TOP)
+    measured = t.select("label", "vec_id", "token_id", e.alias("e"), m.alias("m"))
+    return rounded(dist.section_metrics(measured, "label", "vec_id", "token_id", "e", "m", THINK_END))
+
+
 def greedy_token(spark: SparkSession, d: str) -> DataFrame:
     return _tokens(spark, d).select("vec_id", dist.argmax(F.col("logits")).alias("token"))
 
@@ -77,7 +88,7 @@ _COLS = ", ".join(
 )
 
 QUERIES = {f.__name__: f for f in (
-    total_variance, token_entropy, truncated_entropy, greedy_token, normalised_vectors, sequence_section_metrics, generation_trim_eos,
+    total_variance, token_entropy, truncated_entropy, logprob_section_metrics, greedy_token, normalised_vectors, sequence_section_metrics, generation_trim_eos,
 )}
 SQL = {
     "total_variance": f"""
@@ -95,6 +106,10 @@ SQL = {
         x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE / n AS v FROM n)
         SELECT vec_id, {sql_round('sum(v * v)', 'length2')}, {sql_round('sum(v * d)', 'weighted')} FROM x GROUP BY vec_id""",
     "sequence_section_metrics": f"WITH {_P}, {_SECTIONS.format(src='m', cols=_COLS)}",
+    "logprob_section_metrics": f"""
+        WITH {_P}, k AS (SELECT label, vec_id, token_id, list_reverse_sort(lp)[1:{TRUNCATED}] AS top FROM t),
+        u AS (SELECT label, vec_id, token_id, -list_sum(list_transform(top, lambda v: exp(v) * v)) AS e, list_sum(list_transform(top[1:{TOP}], lambda v: exp(v))) AS m FROM k),
+        {_SECTIONS.format(src='u', cols=_COLS)}""",
     "generation_trim_eos": f"""
         WITH {_P}, u AS (SELECT * FROM m WHERE NOT (token_id = 3 AND vec_id = (SELECT max(vec_id) FROM m q WHERE q.label = m.label))), {_SECTIONS.format(src='u', cols=_COLS)}""",
 }

@@ -35,9 +35,9 @@ def resume_remaining(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resume_done(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of the grid that are finished (set intersection)."""
-    tasks = grid.task_grid(personae(spark, d), prompts(spark, d), 1).select("persona", "prompt_id", "rep_idx")
-    return tasks.join(table(spark, d, "results").select("persona", "prompt_id", "rep_idx"), grid.TASK_KEY, "left_semi").distinct()
+    """Keys of the one-repetition grid that are finished (set intersection)."""
+    known = table(spark, d, "personae").select("persona"), table(spark, d, "prompts").select(F.col("id").alias("prompt_id"))
+    return grid.finished_tasks(table(spark, d, "results"), *known, 1)
 
 
 def prefix_subset(spark: SparkSession, d: str) -> DataFrame:

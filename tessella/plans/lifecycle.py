@@ -27,11 +27,14 @@ def prompt_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_array(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts as items of one-item JSON arrays: a string for every third, else an object."""
-    p = prompts(spark, d)
-    item = F.when(F.col("ordinal") % 3 == 0, F.to_json(F.array("question"))).otherwise(F.to_json(F.array(F.struct("question", F.col("prompt_id").alias("id")))))
+    """Prompts as JSON arrays of three items each: a string that looks like an object, a string, and an object."""
+    p = prompts(spark, d).where("prompt_id is not null")
+    odd = F.to_json(F.struct(F.concat(F.lit("{"), F.coalesce("question", F.lit(""))).alias("q")))
+    items = [F.get_json_object(odd, "$.q"), F.coalesce("question", F.lit(""))]
+    quoted = [F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1) for c in items]
+    item = F.concat(F.lit("["), F.concat_ws(",", *quoted, F.to_json(F.struct(F.coalesce("question", F.lit("")).alias("question"), F.col("prompt_id").alias("id")))), F.lit("]"))
     rows = p.select(F.col("ordinal").alias("n"), F.inline(files.parse_prompt_array(item)))
-    return rows.select("n", "question", "prompt_id")
+    return rows.select("n", "ordinal", "question", "prompt_id")
 
 
 def results_files(spark: SparkSession, d: str) -> DataFrame:
@@ -88,10 +91,12 @@ QUERIES = {f.__name__: f for f in (prompt_lines, prompt_array, results_files, ru
 _PRO = "WITH pro AS (SELECT question, id, row_number() OVER (ORDER BY id) - 1 AS ordinal FROM prompts)"
 SQL = {
     "prompt_lines": f"{_PRO} SELECT ordinal, question, CASE WHEN ordinal % 3 = 0 THEN ordinal ELSE id END AS prompt_id FROM pro",
-    "prompt_array": f"{_PRO} SELECT ordinal AS n, question, CASE WHEN ordinal % 3 = 0 THEN 0 ELSE id END AS prompt_id FROM pro",
+    "prompt_array": f"""{_PRO}, q AS (SELECT ordinal AS n, coalesce(question, '') AS question, id FROM pro WHERE id IS NOT NULL)
+        SELECT n, 0::BIGINT AS ordinal, '{{' || question AS question, 0::BIGINT AS prompt_id FROM q UNION ALL SELECT n, 1, question, 1 FROM q UNION ALL SELECT n, 2, question, id FROM q""",
     "results_files": "SELECT persona, prompt_id, rep_idx, response, num_tokens FROM results",
     "run_discovery": """
-        WITH r AS (SELECT output_dir AS directory, substr(run_id, 2, 2)::INT AS n FROM run_configs)
-        SELECT directory, directory || '/results.jsonl' AS path FROM r WHERE n % 2 = 0 UNION ALL SELECT directory, directory || '/results.json' FROM r WHERE n % 3 <> 1 AND n % 2 <> 0 AND directory NOT IN (SELECT directory FROM r WHERE n % 2 = 0)""",
+        WITH r AS (SELECT output_dir AS directory, substr(run_id, 2, 2)::INT AS n FROM run_configs),
+        f AS (SELECT DISTINCT directory, directory || '/results.jsonl' AS path FROM r WHERE n % 2 = 0 UNION SELECT directory, directory || '/results.json' FROM r WHERE n % 3 <> 1 AND n % 2 <> 0 AND directory NOT IN (SELECT directory FROM r WHERE n % 2 = 0))
+        SELECT *, row_number() OVER (ORDER BY path DESC) - 1 AS rank FROM f""",
     "stream_append_resume": "SELECT DISTINCT persona, prompt_id, rep_idx, 1::BIGINT AS answers FROM results WHERE persona IS NOT NULL AND prompt_id IS NOT NULL AND rep_idx IS NOT NULL",
 }

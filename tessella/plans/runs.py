@@ -2,54 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import preview, remaining
 from tessella.operators import compare
+from tessella.operators.summary import report
 from tessella.plans.common import rounded, sql_number, sql_round
 from tessella.session import table
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return compare.pairs(table(spark, d, "results"), table(spark, d, "results_copy"))
+_SAME = ["response", "avg_entropy"]
+_CLASS = [*_SAME, "num_tokens"]
+
+
+def _pairs(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
+    return compare.pairs(table(spark, d, "results"), table(spark, d, "results_copy"), fields)
 
 
 def run_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = compare.with_class(_pairs(spark, d))
+    p = compare.with_class(_pairs(spark, d, _CLASS))
     return rounded(p.select(*compare.KEY, "pair_class", "num_tokens_a", "num_tokens_b", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("avg_entropy_a", "avg_entropy_b")]))
 
 
 def pair_classes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compare.class_counts(_pairs(spark, d)))
+    return rounded(compare.class_counts(_pairs(spark, d, _CLASS)))
 
 
 def paired_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compare.metric_stats(_pairs(spark, d)))
+    return rounded(compare.metric_stats(_pairs(spark, d, compare.METRICS)))
 
 
 def response_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compare.response_agreement(_pairs(spark, d)))
+    return rounded(compare.response_agreement(_pairs(spark, d, ["response"])))
 
 
 def entropy_by_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compare.entropy_by_agreement(_pairs(spark, d)))
+    return rounded(compare.entropy_by_agreement(_pairs(spark, d, _SAME)))
 
 
 def ratio_of_means(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compare.ratio_of_means(_pairs(spark, d)))
+    return rounded(compare.ratio_of_means(_pairs(spark, d, _SAME)))
 
 
 def diff_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compare.diff_percentiles(_pairs(spark, d)))
+    return rounded(compare.diff_percentiles(_pairs(spark, d, _CLASS)))
 
 
 def class_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compare.class_summary(_pairs(spark, d)))
+    return rounded(compare.class_summary(_pairs(spark, d, [*_CLASS, "avg_top_k_mass"])))
 
 
 def token_differences(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(compare.token_differences(_pairs(spark, d)))
+    return rounded(compare.token_differences(_pairs(spark, d, _CLASS)))
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -57,36 +64,50 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def worst_underestimates(spark: SparkSession, d: str) -> DataFrame:
-    same = compare.with_entropy(_pairs(spark, d)).where("response_a <=> response_b")
+    same = compare.with_entropy(_pairs(spark, d, _CLASS)).where("response_a <=> response_b")
     return _listed(compare.extremes(same, F.desc("diff"), 5))
 
 
 def most_negative(spark: SparkSession, d: str) -> DataFrame:
-    return _listed(compare.extremes(compare.anomalies(_pairs(spark, d)), F.asc("diff"), 5))
+    return _listed(compare.extremes(compare.anomalies(_pairs(spark, d, _CLASS)), F.asc("diff"), 5))
 
 
 def anomaly_counts(spark: SparkSession, d: str) -> DataFrame:
-    return compare.anomaly_counts(_pairs(spark, d))
+    return compare.anomaly_counts(_pairs(spark, d, [*_CLASS, "think_end_position"]))
 
 
 def different_examples(spark: SparkSession, d: str) -> DataFrame:
-    """The first three pairs, by key, of different answers, with the beginnings of prompt and answers."""
-    p = compare.with_entropy(compare.with_class(_pairs(spark, d))).where("pair_class = 'different_response'")
-    first = compare.extremes(p, F.asc("persona"), 3)
-    shown = [F.substring(f"response_{s}", 1, 500).alias(f"shown_{s}") for s in "ab"] + [remaining(F.col(f"response_{s}"), 500).cast("bigint").alias(f"more_{s}") for s in "ab"]
-    return first.select(*compare.KEY, preview(F.col("prompt_a"), 100).alias("prompt"), *shown)
+    """The first three pairs, by key, of different answers, with the beginnings of prompt and answers.
+
+    Three keys are found first, by hashes; only their texts are fetched.
+    """
+    p = compare.with_entropy(compare.with_class(_pairs(spark, d, [*_CLASS, "ordinal"]))).where("pair_class = 'different_response'")
+    first = compare.extremes(p, F.asc("persona"), 3).select(*compare.KEY, "ordinal_a", "ordinal_b")
+    shown = first
+    for s, name in (("a", "results"), ("b", "results_copy")):
+        texts = table(spark, d, name).select(F.col("ordinal").alias(f"ordinal_{s}"), F.col("response").alias(f"response_{s}"), F.col("prompt").alias(f"prompt_{s}"))
+        shown = texts.join(F.broadcast(shown), f"ordinal_{s}")  # three rows
+    parts = [F.substring(f"response_{s}", 1, 500).alias(f"shown_{s}") for s in "ab"] + [remaining(F.col(f"response_{s}"), 500).cast("bigint").alias(f"more_{s}") for s in "ab"]
+    return shown.select(*compare.KEY, preview(F.col("prompt_a"), 100).alias("prompt"), *parts)
 
 
 def entropy_histogram(spark: SparkSession, d: str) -> DataFrame:
-    same = compare.with_entropy(_pairs(spark, d)).where("response_a <=> response_b")
+    same = compare.with_entropy(_pairs(spark, d, _SAME)).where("response_a <=> response_b")
     return rounded(compare.histogram(same, "diff", 50))
 
 
 def agreement_histograms(spark: SparkSession, d: str) -> DataFrame:
-    """Differences of identical and different answers in 60 bins of [-0.3, 0.3]."""
-    p = compare.with_entropy(_pairs(spark, d))
-    h = [compare.histogram(p.where(f"{n} (response_a <=> response_b)"), "diff", 60, -0.3, 0.3).withColumn("identical", F.lit(n == "")) for n in ("", "not")]
-    return rounded(h[0].unionByName(h[1]))
+    """Differences of identical and different answers in 60 bins of [-0.3, 0.3], in one pass."""
+    p = compare.with_entropy(_pairs(spark, d, _SAME)).withColumn("identical", F.expr("response_a <=> response_b"))
+    return rounded(compare.histogram(p, "diff", 60, -0.3, 0.3, by="identical"))
+
+
+def comparison_report(spark: SparkSession, d: str) -> DataFrame:
+    """The printed report of a comparison as a table: section, metric, value."""
+    p = _pairs(spark, d, [*_CLASS, "think_end_position"])
+    parts = {"responses": compare.response_agreement(p), "ratio of means": compare.ratio_of_means(p), "tokens": compare.token_differences(p), "anomalies": compare.anomaly_counts(p)}
+    lines = [report(k, v) for k, v in parts.items()]
+    return rounded(reduce(DataFrame.unionByName, lines))
 
 
 _FIELDS = ", ".join(compare.FIELDS)
@@ -116,7 +137,7 @@ def _hist(src: str, bins: int, lo: str, hi: str, extra: str = "") -> str:
 
 QUERIES = {f.__name__: f for f in (
     run_pairs, pair_classes, paired_stats, response_agreement, entropy_by_agreement, ratio_of_means, diff_percentiles, class_summary, token_differences,
-    worst_underestimates, most_negative, anomaly_counts, different_examples, entropy_histogram, agreement_histograms,
+    worst_underestimates, most_negative, anomaly_counts, different_examples, entropy_histogram, agreement_histograms, comparison_report,
 )}
 SQL = {
     "run_pairs": f"WITH {_P} SELECT {_KEY}, pair_class, num_tokens_a, num_tokens_b, {sql_round('entropy_a', 'avg_entropy_a')}, {sql_round('entropy_b', 'avg_entropy_b')} FROM c",
@@ -160,3 +181,10 @@ SQL = {
     "agreement_histograms": f"WITH {_P}, s AS (SELECT diff FROM e WHERE response_a IS NOT DISTINCT FROM response_b), t AS (SELECT diff FROM e WHERE response_a IS DISTINCT FROM response_b) "
         + _hist("s", 60, "-0.3::DOUBLE", "0.3::DOUBLE", ", true AS identical") + " UNION ALL " + _hist("t", 60, "-0.3::DOUBLE", "0.3::DOUBLE", ", false AS identical"),
 }
+_REPORTED = {
+    "responses": ("response_agreement", "identical different identical_percent length_diff_mean length_diff_std"), "ratio of means": ("ratio_of_means", "n mean_diff mean_b percent"),
+    "tokens": ("token_differences", "n mean min max more fewer"), "anomalies": ("anomaly_counts", "n token_count_differs token_count_same think_position_differs"),
+}
+SQL["comparison_report"] = " UNION ALL ".join(
+    f"SELECT '{k}' AS section, m.metric, m.value FROM (SELECT unnest([{', '.join(f"{{'metric': '{c}', 'value': CAST({c} AS DOUBLE)}}" for c in cols.split())}]) AS m FROM ({SQL[q]}))" for k, (q, cols) in _REPORTED.items()
+)

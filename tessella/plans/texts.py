@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.plans.common import sql_strip
-from tessella.session import table
+from tessella.session import ship, table
 
 
 def section_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -61,14 +61,18 @@ def previews(spark: SparkSession, d: str) -> DataFrame:
 
 def first_diff_char(spark: SparkSession, d: str) -> DataFrame:
     """Where the first and the second answer of a row begin to differ."""
+    ship(spark)
     rows = table(spark, d, "consistency_results").select("ordinal", F.col("response1").alias("a"), F.col("response2").alias("b"))
     return rows.select("ordinal", text.first_difference(F.col("a"), F.col("b")).cast("bigint").alias("at"))
 
 
 def parsed_commands(spark: SparkSession, d: str) -> DataFrame:
-    """Commands as the chat loop would parse them, made from the personae."""
-    lines = table(spark, d, "personae").select("persona", F.concat(F.lit("  /Persona  \""), "persona", F.lit("\" ")).alias("line"))
-    return lines.select("persona", text.command_of(F.col("line")).alias("c")).select("persona", "c.verb", "c.args")
+    """What lines do in the chat loop: every verb, known and unknown, with and without what it needs, for each persona."""
+    p = table(spark, d, "personae")
+    forms = [F.concat(F.lit("  /Persona  \""), "persona", F.lit("\" ")), F.concat(F.lit("/system You are "), "persona"), F.concat(F.lit("/"), F.lit("unknown "), "persona"), F.col("persona")]
+    fixed = ["/clear", "/persona", "/PERSONA ''", "/system", "/thinking", "/nothinking", "/tokens", "/tokens 512", "/tokens many", "/tokens -3", "/help", " /help me ", "no command"]
+    lines = p.select("persona", F.posexplode(F.array(*forms, *map(F.lit, fixed))).alias("form", "line"))
+    return lines.select("persona", "form", text.command_result(F.col("line")).alias("c")).select("persona", "form", "c.*")
 
 
 def run_directories(spark: SparkSession, d: str) -> DataFrame:
@@ -114,13 +118,27 @@ SQL = {
     "previews": """
         SELECT ordinal, CASE WHEN length(response) > 80 THEN substr(response, 1, 80) || '...' ELSE response END AS title, substr(response, 1, 500) AS shown,
             CAST(greatest(length(response) - 500, 0) AS BIGINT) AS more FROM results WHERE response IS NOT NULL""",
+    # the lengths of equal beginnings, halved like a search; each step is a table of its own
     "first_diff_char": """
-        WITH x AS (SELECT ordinal, substr(response1, 1, 200) AS a, substr(response2, 1, 200) AS b FROM consistency_results),
-        i AS (SELECT ordinal, unnest(range(1, least(length(a), length(b)) + 1)) AS i, a, b FROM x),
-        m AS (SELECT ordinal, min(i) - 1 AS at FROM i WHERE substr(a, i, 1) <> substr(b, i, 1) GROUP BY ordinal)
-        SELECT x.ordinal, m.at FROM x LEFT JOIN m USING (ordinal)""",
+        WITH RECURSIVE x AS (SELECT ordinal, response1 AS a, response2 AS b, least(length(response1), length(response2)) AS n FROM consistency_results),
+        s AS (
+            SELECT ordinal, 0::BIGINT AS lo, n AS hi FROM x WHERE left(a, n) <> left(b, n)
+            UNION ALL
+            SELECT s.ordinal, CASE WHEN left(a, (lo + hi) // 2) = left(b, (lo + hi) // 2) THEN (lo + hi) // 2 ELSE lo END,
+                CASE WHEN left(a, (lo + hi) // 2) = left(b, (lo + hi) // 2) THEN hi ELSE (lo + hi) // 2 END FROM s JOIN x USING (ordinal) WHERE hi - lo > 1)
+        SELECT x.ordinal, m.lo AS at FROM x LEFT JOIN (SELECT ordinal, lo FROM s WHERE hi - lo = 1) m USING (ordinal)""",
     "parsed_commands": """
-        SELECT persona, '/persona' AS verb, persona AS args FROM personae""",
+        WITH f AS (SELECT persona, unnest([
+            {'form': 0, 'verb': '/persona', 'problem': NULL, 'value': persona, 'number': NULL, 'clears': true}, {'form': 1, 'verb': '/system', 'problem': NULL, 'value': 'You are ' || persona, 'number': NULL, 'clears': true},
+            {'form': 2, 'verb': '/unknown', 'problem': 'unknown', 'value': NULL, 'number': NULL, 'clears': false}, {'form': 3, 'verb': NULL, 'problem': NULL, 'value': NULL, 'number': NULL, 'clears': false},
+            {'form': 4, 'verb': '/clear', 'problem': NULL, 'value': NULL, 'number': NULL, 'clears': true}, {'form': 5, 'verb': '/persona', 'problem': 'usage', 'value': NULL, 'number': NULL, 'clears': false},
+            {'form': 6, 'verb': '/persona', 'problem': NULL, 'value': '', 'number': NULL, 'clears': true}, {'form': 7, 'verb': '/system', 'problem': 'usage', 'value': NULL, 'number': NULL, 'clears': false},
+            {'form': 8, 'verb': '/thinking', 'problem': NULL, 'value': NULL, 'number': NULL, 'clears': false}, {'form': 9, 'verb': '/nothinking', 'problem': NULL, 'value': NULL, 'number': NULL, 'clears': false},
+            {'form': 10, 'verb': '/tokens', 'problem': NULL, 'value': NULL, 'number': NULL, 'clears': false}, {'form': 11, 'verb': '/tokens', 'problem': NULL, 'value': NULL, 'number': 512, 'clears': false},
+            {'form': 12, 'verb': '/tokens', 'problem': 'usage', 'value': NULL, 'number': NULL, 'clears': false}, {'form': 13, 'verb': '/tokens', 'problem': 'usage', 'value': NULL, 'number': NULL, 'clears': false},
+            {'form': 14, 'verb': '/help', 'problem': NULL, 'value': NULL, 'number': NULL, 'clears': false}, {'form': 15, 'verb': '/help', 'problem': NULL, 'value': NULL, 'number': NULL, 'clears': false},
+            {'form': 16, 'verb': NULL, 'problem': NULL, 'value': NULL, 'number': NULL, 'clears': false}]) AS f FROM personae)
+        SELECT persona, f.form, f.verb IS NOT NULL AS handled, f.verb, CASE WHEN f.verb IS NULL THEN NULL ELSE f.verb <> '/unknown' END AS known, f.problem, f.value, CAST(f.number AS BIGINT) AS number, f.clears AS clears_history FROM f""",
     "run_directories": "SELECT run_id, output_dir || '/results.jsonl' AS path, split_part(output_dir, '/', -1) AS name FROM run_configs",
     "gpu_samples": "SELECT event_id, 'gpu' AS device, event_type AS kind FROM events WHERE event_id % 5 <> 0",
 }

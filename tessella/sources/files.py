@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.grid import numbered
 from tessella.schemas import CONSISTENCY_RESULT, PERSONA, RESULT
 
 
@@ -41,28 +42,25 @@ def parse_prompt_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def parse_prompt_array(value: Column) -> Column:
-    """Array of (question, id) of a JSON array whose items are strings or objects with a question."""
-    items = F.from_json(value, "array<string>", {"mode": "FAILFAST"})
-    is_object = lambda x: F.startswith(F.ltrim(x), F.lit("{"))
-    return F.transform(
-        items,
-        lambda x, i: F.struct(
-            F.when(is_object(x), F.get_json_object(x, "$.question")).otherwise(x).alias("question"),
-            F.coalesce(F.when(is_object(x), F.get_json_object(x, "$.id")).cast("bigint"), i.cast("bigint")).alias("prompt_id"),
-            i.cast("bigint").alias("ordinal"),
-        ),
-    )
+    """Array of (question, prompt_id, ordinal) of a JSON array whose items are strings or objects with a question.
+
+    What an item is, its JSON type tells, not its text: a string may begin with any mark.
+    """
+    items = F.transform(F.from_json(value, "array<variant>", {"mode": "FAILFAST"}), lambda x, i: F.struct(x.alias("x"), F.schema_of_variant(x).alias("kind"), i.cast("bigint").alias("i")))
+    is_object = lambda s: F.startswith(s["kind"], F.lit("OBJECT"))
+    text = lambda s: F.when(is_object(s), F.try_variant_get(s["x"], "$.question", "string")).when(s["kind"] == "STRING", F.try_variant_get(s["x"], "$", "string"))
+    own_id = lambda s: F.when(is_object(s), F.try_variant_get(s["x"], "$.id", "bigint"))
+    return F.transform(items, lambda s: F.struct(text(s).alias("question"), F.coalesce(own_id(s), s["i"]).alias("prompt_id"), s["i"].alias("ordinal")))
 
 
 def load_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, question, prompt_id) of a .jsonl file, or of a .json array of strings or objects; no prompts: ValueError."""
+    """(ordinal, question, prompt_id) of a .jsonl file, or of any other file that holds a JSON array of strings or objects; no
+    prompts: ValueError."""
     if path.endswith(".jsonl"):
         rows = parse_prompt_lines(_lines(spark, path), ["question"])
-    elif path.endswith(".json"):
+    else:
         whole = spark.read.text(path, wholetext=True)
         rows = _required(whole.select(F.inline(parse_prompt_array(F.col("value")))), ["question"], "prompt").select("ordinal", "question", "prompt_id")
-    else:
-        raise ValueError(f"neither .jsonl nor .json: {path}")
     return _not_empty(rows, "prompts")
 
 
@@ -105,10 +103,13 @@ def torn_lines(spark: SparkSession, path: str, schema: str = RESULT) -> DataFram
 
 
 def discover_runs(files: DataFrame) -> DataFrame:
-    """(directory, path) of result files, given their paths: of each directory results.jsonl, else results.json."""
+    """(directory, path, rank) of result files, given their paths: of each directory results.jsonl, else results.json. rank
+    numbers the runs from 0 in descending order of their paths, as a list of runs shows them."""
     named = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("directory"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
-    lines, arrays = (named.where(F.col("file") == f"results.{x}") for x in ("jsonl", "json"))
-    return lines.unionByName(arrays.join(lines.select("directory"), "directory", "left_anti").select(*lines.columns)).select("directory", "path")
+    kinds = named.where(F.col("file").isin("results.jsonl", "results.json")).groupBy("directory")
+    # "results.jsonl" is the greater of the two names
+    chosen = kinds.agg(F.max("path").alias("path"))
+    return numbered(chosen, F.desc("path"), F.asc("directory"), name="rank")
 
 
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -116,6 +117,11 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path")
 
 
+def find_runs(spark: SparkSession, base: str) -> DataFrame:
+    """discover_runs() of the folders below `base`."""
+    return discover_runs(list_files(spark, f"{base}/*/results.json*"))
+
+
 def append_results(df: DataFrame, path: str) -> None:
     """Append rows as JSON lines, one new file per task: readers see whole files only."""
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
@@ -123,12 +129,9 @@ def append_results(df: DataFrame, path: str) -> None:
 
 def count_results(spark: SparkSession, path: str) -> int:
     """Number of non-blank lines; 0 where nothing was written yet."""
-    try:
-        lines = spark.read.text(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return 0
-        raise
+    if not exists(spark, path):
+        return 0
+    lines = spark.read.text(path)
     return lines.where(F.trim("value") != "").count()
 
 
@@ -136,6 +139,12 @@ def write_embeddings(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def save_config(config: dict, path: str, spark: SparkSession) -> None:
     """The run's settings as a small pretty-printed JSON file beside its results, on the results' file system."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -147,8 +156,6 @@ def save_config(config: dict, path: str, spark: SparkSession) -> None:
 
 def load_config(path: str, spark: SparkSession) -> dict | None:
     """The saved settings; None where there are none."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(conf).exists(at):
+    if not exists(spark, path):
         return None
     return json.loads(spark.read.text(path, wholetext=True).first()[0])

@@ -19,7 +19,7 @@ def line(n, persona, response="r", e=1.0, m=0.9, tokens=5, think=None):
 def paired(spark):
     a = [line(0, "dup", e=9.0), line(1, "dup", e=1.0), line(2, "text", "x", e=1.0), line(3, "tok", e=0.5, tokens=7, think=3), line(4, "nul", e=None), line(5, "onlya"), line(6, None), line(7, "zero", e=0.2)]
     b = [line(0, "dup", e=1.2), line(1, "text", "y", e=2.0), line(2, "tok", e=0.4, tokens=5), line(3, "nul", e=1.0), line(4, "onlyb"), line(5, "zero", e=0.0)]
-    return compare.pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA)).cache()
+    return compare.pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), compare.FIELDS).cache()
 
 
 def test_pairs_take_the_last_line(paired):

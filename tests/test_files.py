@@ -29,8 +29,6 @@ def test_bad_prompt_files(spark, tmp_path):
     empty.write_text("\n\n")
     with pytest.raises(ValueError, match="no prompts"):
         files.load_prompts(spark, str(empty))
-    with pytest.raises(ValueError, match="neither"):
-        files.load_prompts(spark, "x.csv")
     lacking = tmp_path / "l.jsonl"
     lacking.write_text('{"id": 1}\n')
     with pytest.raises(Exception, match="without question"):
@@ -74,30 +72,54 @@ def test_discovery_prefers_lines(spark, tmp_path):
     for name in ("r1/results.jsonl", "r1/results.json", "r2/results.json", "r3/other.json"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
-    found = files.discover_runs(files.list_files(spark, f"{tmp_path}/*/*.json*"))
-    assert sorted(r.path.split("/", 3)[-1].rsplit("/", 2)[-2:] for r in found.collect()) == [["r1", "results.jsonl"], ["r2", "results.json"]]
+    found = files.find_runs(spark, str(tmp_path))
+    assert [r.path.rsplit("/", 2)[-2:] for r in found.orderBy("rank").collect()] == [["r2", "results.json"], ["r1", "results.jsonl"]]
 
 
-@pytest.mark.parametrize("bad", [{"model": ""}, {"backend": "x"}, {"max_tokens": 0}, {"n_reps": 0}, {"temperature": 0.0, "n_reps": 2}, {"logprobs_k": 3}, {"temperature": -1.0}, {"top_k_mass_k": 0}])
+@pytest.mark.parametrize("bad", [{"model": ""}, {"backend": "x"}, {"max_tokens": 0}, {"n_reps": 0}, {"backend": "vllm", "logprobs_k": 3}, {"temperature": -1.0}, {"top_k_mass_k": 0}, {"subset_prompt": 0.0}, {"subset_category_persona": 1.5}, {"system_prompt_style": "x"}])
 def test_config_rules(bad):
     with pytest.raises(ValueError):
-        RunConfig(**({"model": "m", "output_dir": "o"} | bad))
+        RunConfig(**bad)
+
+
+@pytest.mark.parametrize("bad", [{"model": ""}, {"n_samples": 0}, {"logprobs_k": 0}, {"embedding_batch_size": 0}])
+def test_consistency_config_rules(bad):
     with pytest.raises(ValueError):
-        ConsistencyConfig(**({"model": "m", "output_dir": "o"} | bad))
+        ConsistencyConfig(**bad)
+
+
+def test_config_defaults(tmp_path, monkeypatch):
+    monkeypatch.setenv("SLURM_JOB_ID", "7")
+    with pytest.warns(UserWarning, match="n_reps"):
+        c = RunConfig(n_reps=3)
+    assert (c.n_reps, c.output_dir, c.logprobs_k) == (1, "logs/personae-inference-7", 10_000)
+    assert RunConfig(temperature=0.5, n_reps=3).n_reps == 3 and RunConfig(logprobs_k=3).backend == "transformers"
+    assert ConsistencyConfig().n_samples == 100 and ConsistencyConfig().output_dir == "logs/consistency-inference-7"
+    assert RunConfig.of(c.to_dict() | {"other": 1}) == c
+    (tmp_path / "p").write_text("x")
+    RunConfig(str(tmp_path / "p"), str(tmp_path / "p")).check_files()
+    with pytest.raises(ValueError, match="personae_json not found"):
+        RunConfig(str(tmp_path / "p"), str(tmp_path / "q")).check_files()
 
 
 def test_configs_match_but_for_output(spark, tmp_path):
-    c = RunConfig("m", f"file://{tmp_path}/run", logprobs_k=-1)
+    c = RunConfig(model="m", output_dir=f"file://{tmp_path}/run", backend="vllm", logprobs_k=-1)
     assert configs_match(c.to_dict() | {"output_dir": "else"}, c)
     assert not configs_match({k: v for k, v in c.to_dict().items() if k != "n_reps"}, c)
     resume_guard(spark, c)
     resume_guard(spark, c)
     with pytest.raises(ValueError, match="other settings"):
-        resume_guard(spark, RunConfig("m2", c.output_dir))
+        resume_guard(spark, RunConfig(model="m2", output_dir=c.output_dir))
     with pytest.raises(ValueError):
         EmbeddingConfig("m", batch_size=0)
 
 
+def test_prompts_in_an_array_by_their_json_type(spark, tmp_path):
+    (tmp_path / "p.txt").write_text('["{not an object}", {"question": "q", "id": 7}, "[x]", {"question": "{r}"}]')
+    rows = [(r.ordinal, r.question, r.prompt_id) for r in files.load_prompts(spark, str(tmp_path / "p.txt")).orderBy("ordinal").collect()]
+    assert rows == [(0, "{not an object}", 0), (1, "q", 7), (2, "[x]", 2), (3, "{r}", 3)]
+
+
 def test_stream_answers_each_key_once(spark, tmp_path):
     def put(keys, n):
         spark.createDataFrame(keys, "persona string, prompt_id long, rep_idx long").write.mode("append").parquet(f"{tmp_path}/tasks")
