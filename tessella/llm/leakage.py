@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.session import ship, spread
+from tessella.session import materialise, ship, spread
 
 #: Words in a pattern, and in the blocks of the shift table.
 WINDOW, BLOCK = 4, 2
@@ -29,13 +31,11 @@ GAP = 3
 PASSAGE, TOTAL = 12, 20
 #: Share of a passage's words that must agree.
 AGREE = 0.8
-#: Windows that TOTAL words must share at least: with every fifth word changed, four are left.
-HITS = 4
-#: Characters of item text in a block of items; one block's tables are broadcast at a time.
+#: Characters of item text in a block of items, on average; one block's tables are broadcast at a time.
 BLOCK_CHARS = 20_000_000
 
 _INVISIBLE = {ord(c): None for c in "­​‌‍⁠﻿"}
-_NOISE = re.compile(r"<[^<>\n]{1,80}>|&#?\w{1,8};|\\+[nrt]")
+_NOISE = re.compile(r"</?[A-Za-z!][^<>]*>|&#?\w{1,8};|\\+[nrt]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -81,13 +81,16 @@ class Patterns:
         """Passages of item n in the document: begin, end, agreeing words. hits must be in order."""
         item = self.items[n][1]
         regions: list[list[int]] = []  # begin and end in the document, begin and end in the item, the last diagonal
+        near: list[list[int]] = []  # those that a hit can still belong to
         for d, i in hits:
-            for r in reversed(regions[-4:]):
-                if d - r[1] <= PASSAGE and abs(d - i - r[4]) <= GAP:
+            near = [r for r in near if d - r[1] <= PASSAGE]
+            for r in reversed(near):
+                if abs(d - i - r[4]) <= GAP:
                     r[1], r[2], r[3], r[4] = d + WINDOW, min(r[2], i), max(r[3], i + WINDOW), d - i
                     break
             else:
-                regions.append([d, d + WINDOW, i, i + WINDOW, d - i])
+                near.append([d, d + WINDOW, i, i + WINDOW, d - i])
+                regions.append(near[-1])
         found: list[tuple[int, int, int]] = []
         end = 0
         for a, b, i, j, _ in regions:
@@ -95,69 +98,137 @@ class Patterns:
             run: list[tuple[int, int, int]] = []
             for x, y, size in [*SequenceMatcher(None, doc[a:b], item[i:j], autojunk=False).get_matching_blocks()[:-1], (1 << 40, 1 << 40, 0)]:
                 if run and (x - run[-1][0] - run[-1][2] > GAP or y - run[-1][1] - run[-1][2] > GAP):
-                    begin, stop, same = a + run[0][0], a + run[-1][0] + run[-1][2], sum(s for _, _, s in run)
-                    if stop - begin >= PASSAGE and same >= AGREE * (stop - begin):
-                        found.append((begin, stop, same))
-                        end = stop
+                    for begin, stop, same in agreeing([(p, p + s) for p, _, s in run]):
+                        found.append((a + begin, a + stop, same))
+                        end = a + stop
                     run = []
                 run.append((x, y, size))
         return found
 
+    def search(self, doc: list[str]) -> dict[int, list[tuple[int, int, int]]]:
+        """By item: its passages in the document."""
+        return {n: p for n, h in self.hits(doc).items() if (p := self.passages(doc, n, h))}
+
     def leaked(self, text: str) -> list[int]:
-        """Ids of the items that the text holds at least TOTAL words of, in passages.
-
-        Items share phrases; a passage that lies in one of another item with more agreeing words belongs to that one.
-        """
-        doc = words(text)
-        found = {n: p for n, h in self.hits(doc).items() if len(h) >= HITS and (p := self.passages(doc, n, h))}
-        out = []
-        for n, own in found.items():
-            rest = [q for m, p in found.items() if m != n for q in p]
-            kept = [p for p in own if not any(q[2] > p[2] and min(p[1], q[1]) - max(p[0], q[0]) >= (p[1] - p[0]) // 2 for q in rest)]
-            if sum(end - begin for begin, end, _ in kept) >= TOTAL:
-                out.append(self.items[n][0])
-        return out
-
-
-def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    block: list[tuple[int, str]] = []
-    size = 0
-    for r in items.select(item_id, text).where(items[text].isNotNull()).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+        """Ids of the items that the text holds, if these are all items there are; see held()."""
+        found = [(self.items[n][0], *p) for n, own in self.search(words(text)).items() for p in own]
+        return held(found)
+
+
+def agreeing(run: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Of a run of agreeing stretches (begin, end), in order, the longest part that begins and ends with one and of whose words
+    AGREE agree, if it has PASSAGE words, and such parts of what is left on either side: (begin, end, agreeing words).
+
+    So chance matches near a passage don't spoil it. The longest part is found by sums of what each word adds to agreement,
+    against the smallest sums before it.
+    """
+    todo, out = [run], []
+    while todo:
+        own = todo.pop()
+        if not own or own[-1][1] - own[0][0] < PASSAGE:
+            continue
+        total, last = 0.0, own[0][0]
+        starts: list[tuple[float, int]] = []  # sums before stretches, falling
+        best = (0, 0, 0)
+        for k, (a, b) in enumerate(own):
+            total -= AGREE * (a - last)
+            if not starts or total < starts[-1][0]:
+                starts.append((total, k))
+            total += (1 - AGREE) * (b - a)
+            last = b
+            lo, hi = 0, len(starts)
+            while lo < hi:  # the earliest start from which the sum isn't negative
+                mid = (lo + hi) // 2
+                if starts[mid][0] <= total + 1e-9:
+                    hi = mid
+                else:
+                    lo = mid + 1
+            if lo < len(starts) and b - own[starts[lo][1]][0] > best[0]:
+                best = (b - own[starts[lo][1]][0], starts[lo][1], k)
+        length, i, k = best
+        if length >= PASSAGE:
+            out.append((own[i][0], own[k][1], sum(b - a for a, b in own[i : k + 1])))
+            todo += [own[:i], own[k + 1 :]]
+    return sorted(out)
+
+
+def held(found: list[tuple]) -> list:
+    """Ids of the items that a document holds at least TOTAL words of, from its passages (id, begin, end, agreeing words).
+
+    Items share phrases; a passage that lies, by half or more, in one of another item with more agreeing words belongs to that
+    one. All items' passages must be there, so the result doesn't depend on how the items were dealt into blocks. Passages
+    are gone over by place, so each is held against those that it overlaps.
+    """
+    by_begin = sorted(found, key=lambda p: p[1])
+    reach = max((p[2] - p[1] for p in found), default=0)
+    begins = [p[1] for p in by_begin]
+    length: dict = {}
+    for i, begin, end, same in found:
+        others = by_begin[bisect_left(begins, begin - reach) : bisect_left(begins, end)]
+        if not any(j != i and n > same and min(end, e) - max(begin, b) >= (end - begin) // 2 for j, b, e, n in others):
+            length[i] = length.get(i, 0) + end - begin
+    return [i for i, n in length.items() if n >= TOTAL]
+
+
+def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple]]:
+    """Blocks of (id, text), one after the other; each is fetched when it is asked for."""
+    own = items.where(F.col(text).isNotNull())
+    chars = own.agg(F.sum(F.length(text))).first()[0] or 0
+    n = -(-chars // block_chars)
+    for k in range(n):
+        yield [(r[0], r[1]) for r in own.where(F.pmod(F.xxhash64(item_id, text), F.lit(n)) == k).select(item_id, text).collect()]  # about block_chars
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id) for each document that holds passages of the item, together at least TOTAL words.
 
-    Whole texts are searched. The items are the stated query set: they are taken in blocks of at most `block_chars`
-    characters (and one item more), whose tables are broadcast, and each block is searched in one pass over the
-    documents. Null, empty and wordless texts hold nothing; items of fewer than WINDOW words are never found; items with
-    the same text are each reported; repeated document rows come out once each. Empty tables give no rows; other columns
-    are ignored.
+    Whole texts are searched. The items are the stated query set: they are taken in blocks of about `block_chars`
+    characters, whose tables are broadcast, and each block is searched in one pass over the documents. With several blocks the
+    passages are written, the block is let go before the next is fetched, and which item a passage belongs to is settled by
+    document when all are there. Null, empty and wordless texts hold nothing; items of fewer than WINDOW words are never
+    found; items with the same text are each reported; repeated document rows come out once. Empty tables give no rows; other
+    columns are ignored.
+
+    Any 16 words of which AGREE agree have WINDOW agreeing words in a row, so no passage is missed by its windows.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}"
-    rows = spread(docs.select(doc_id, text).where(docs[text].isNotNull()))
-    out: DataFrame | None = None
-    for block in _blocks(items, item_id, text, block_chars):
+    spans = f"`{doc_id}` {kinds[0]}, th bigint, `{item_id}` {kinds[1]}, `begin` int, `end` int, same int"
+    names = [doc_id, "th", item_id, "begin", "end", "same"]
+    rows = spread(docs.select(F.col(doc_id), F.col(text)).where(F.col(text).isNotNull()))
+    found: list[DataFrame] = []
+    blocks = item_blocks(items, item_id, text, block_chars)
+    block, following = next(blocks, None), next(blocks, None)
+    alone = following is None
+    while block is not None:
         shared = spark.sparkContext.broadcast(block)
         built: dict[str, Patterns] = {}
 
         def search(batches: Iterator[pd.DataFrame], shared=shared, built=built) -> Iterator[pd.DataFrame]:
-            if "p" not in built:
-                built["p"] = Patterns(shared.value)
+            patterns = built.setdefault("p", Patterns(shared.value)) if "p" not in built else built["p"]
             for b in batches:
-                found = [(d, i) for d, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) for i in built["p"].leaked(t)]
-                yield pd.DataFrame(found, columns=[doc_id, item_id])
-
-        part = rows.mapInPandas(search, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+                if alone:
+                    out = [(d, i) for d, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True) for i in patterns.leaked(t)]
+                    yield pd.DataFrame(out, columns=[doc_id, item_id])
+                    continue
+                out = [(d, h, patterns.items[n][0], *p) for d, h, t in b.itertuples(index=False) for n, own in patterns.search(words(t)).items() for p in own]
+                yield pd.DataFrame(out, columns=names)
+
+        if alone:
+            return rows.mapInPandas(search, schema).distinct()
+        found.append(materialise(rows.select(doc_id, F.xxhash64(text).alias("th"), text).mapInPandas(search, spans)))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    if not found:
+        return spark.createDataFrame([], schema)
+
+    def settle(f: pd.DataFrame) -> pd.DataFrame:
+        ids = held(list(f[names[2:]].itertuples(index=False, name=None)))
+        return pd.DataFrame({doc_id: f[doc_id].iloc[:1].repeat(len(ids)), item_id: ids})
+
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.distinct().groupBy(doc_id, "th").applyInPandas(settle, schema).distinct()  # a group: one document's passages

@@ -5,7 +5,8 @@ centroid that holds quantile q has number floor(DELTA / 2pi * (asin(2q - 1) + pi
 and hold at most about pi / DELTA of the values in the middle; groups of up to DELTA / pi values keep every value. Digests
 merge by clustering their centroids again with the same function, in any order and number: tasks, runs or days. All groups
 of a batch are clustered at once, with array operations. A second pass over the rows counts, for every estimate, the values
-below and up to it: its true rank error. Groups with an error above the bound are digested again four times as finely.
+below and up to it: its true rank error. Groups with an error above the bound are digested again four times as finely, and
+those that still have one get their exact percentiles, by counting (see operators.ranks).
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialise, ship, small_enough
+from tessella.operators.ranks import exact_percentiles, with_groups
+from tessella.session import materialise, ship
 
 #: Fineness of the digests: at most DELTA / 2 centroids a group.
 DELTA = 400
@@ -26,12 +28,12 @@ BOUND = 0.01
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Centroids that a task gathers before it clusters them.
 GATHERED = 500_000
-#: Groups (about 200 bytes each) whose estimates are broadcast for the counting pass; beyond, they are joined by a shuffle.
-BROADCAST_GROUPS = 200_000
-#: Copies of an estimate in that join, so that the rows of a large group spread over as many tasks.
-SALTS = 16
+#: Groups (about 200 bytes each) whose estimates are broadcast for the counting pass; see operators.ranks.with_groups.
+BROADCAST_GROUPS = 2_000
+#: Digests of a group that one task merges at most, about: of more tasks, digests are merged in a tree.
+FAN_IN = 64
 
-_GROUP = ["dim", "key", "slice", "metric"]
+_GROUP = ("dim", "key", "slice", "metric")
 _DIGEST = "dim string, `key` string, slice string, metric string, mean double, weight bigint"
 
 
@@ -56,14 +58,15 @@ def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, delta: floa
     return group[at], base + np.add.reduceat(off * weight, at) / mass, np.rint(mass).astype("int64")
 
 
-def _cluster_frame(f: pd.DataFrame, delta: float) -> pd.DataFrame:
+def _cluster_frame(f: pd.DataFrame, delta: float, keys: tuple[str, ...] = _GROUP) -> pd.DataFrame:
     if f.empty:
         return f
-    groups = f.groupby(_GROUP, sort=False, dropna=False)
+    groups = f.groupby(list(keys), sort=False, dropna=False)
     ids = groups.ngroup().to_numpy()
-    names = f[_GROUP].iloc[np.unique(ids, return_index=True)[1]].reset_index(drop=True)
+    names = f[list(keys)].iloc[np.unique(ids, return_index=True)[1]].reset_index(drop=True)
     g, m, w = cluster(ids, f["mean"].to_numpy("float64"), f["weight"].to_numpy("int64"), delta)
-    return pd.concat([names.iloc[g].reset_index(drop=True), pd.DataFrame({"mean": m, "weight": w})], axis=1)
+    out = pd.concat([names.iloc[g].reset_index(drop=True), pd.DataFrame({"mean": m, "weight": w})], axis=1)
+    return out[[*_GROUP, "mean", "weight", *keys[len(_GROUP) :]]]
 
 
 def digest(df: DataFrame, dims: list[str], metrics: list[str], slice_by: Column | None = None, delta: float = DELTA) -> DataFrame:
@@ -98,7 +101,7 @@ def digest(df: DataFrame, dims: list[str], metrics: list[str], slice_by: Column
     return rows.mapInPandas(partial, _DIGEST)
 
 
-def _by_group(centroids: DataFrame, use: Callable[[pd.DataFrame], pd.DataFrame], schema: str, delta: float) -> DataFrame:
+def _by_group(centroids: DataFrame, use: Callable[[pd.DataFrame], pd.DataFrame], schema: str, delta: float, keys: tuple[str, ...] = _GROUP) -> DataFrame:
     """use(frame) over whole groups: each group's centroids come sorted into one partition and are handed on in batches,
     of which the last group is held back, clustered, until its end is seen. Memory stays at a batch and one digest."""
     ship(centroids.sparkSession)
@@ -109,19 +112,32 @@ def _by_group(centroids: DataFrame, use: Callable[[pd.DataFrame], pd.DataFrame],
             if b.empty:
                 continue
             f = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = f[_GROUP].iloc[-1]
+            last = f[list(keys)].iloc[-1]
             tail = np.ones(len(f), bool)
-            for c in _GROUP:
+            for c in keys:
                 tail &= (f[c].isna() if pd.isna(last[c]) else f[c] == last[c]).to_numpy()
             held = f[tail].reset_index(drop=True)
             if len(held) > 8 * delta:
-                held = _cluster_frame(held, 4 * delta)
+                held = _cluster_frame(held, 4 * delta, keys)
             if not tail.all():
                 yield use(f[~tail])
         if held is not None:
             yield use(held)
 
-    return centroids.select(*_GROUP, "mean", "weight").repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(run, schema)
+    return centroids.select(*keys, "mean", "weight").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _tree(centroids: DataFrame, delta: float) -> DataFrame:
+    """centroids of at most FAN_IN tasks a group: those of FAN_IN tasks are merged into one digest, layer by layer, so that a
+    group that every task has a digest of doesn't bring all of them into one task."""
+    keys = (*_GROUP, "task")
+    held = materialise(centroids.select(*_GROUP, "mean", "weight", F.spark_partition_id().alias("task")))
+    tasks = (held.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > FAN_IN:
+        bundled = held.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int"))
+        held = materialise(_by_group(bundled, lambda f: _cluster_frame(f, delta, keys), f"{_DIGEST}, task int", delta, keys))
+        tasks = -(-tasks // FAN_IN)
+    return held.drop("task")
 
 
 def merge(*digests: DataFrame, over_slices: bool = False, delta: float = DELTA) -> DataFrame:
@@ -131,7 +147,7 @@ def merge(*digests: DataFrame, over_slices: bool = False, delta: float = DELTA)
         both = both.unionByName(d)
     if over_slices:
         both = both.withColumn("slice", F.lit(None).cast("string"))
-    return _by_group(both, lambda f: _cluster_frame(f, delta), _DIGEST, delta)
+    return _by_group(_tree(both, delta), lambda f: _cluster_frame(f, delta), _DIGEST, delta)
 
 
 def estimates(digests: DataFrame, percentiles: tuple[float, ...] = PERCENTILES, delta: float = DELTA) -> DataFrame:
@@ -139,9 +155,9 @@ def estimates(digests: DataFrame, percentiles: tuple[float, ...] = PERCENTILES,
 
     def use(f: pd.DataFrame) -> pd.DataFrame:
         f = _cluster_frame(f, delta)
-        ids = f.groupby(_GROUP, sort=False, dropna=False).ngroup().to_numpy()
+        ids = f.groupby(list(_GROUP), sort=False, dropna=False).ngroup().to_numpy()
         at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        out = f.iloc[at][_GROUP].reset_index(drop=True)
+        out = f.iloc[at][list(_GROUP)].reset_index(drop=True)
         mean, weight = f["mean"].to_numpy(), f["weight"].to_numpy()
         n, est = [], []
         for a, b in zip(at, np.r_[at[1:], len(f)], strict=True):
@@ -152,7 +168,7 @@ def estimates(digests: DataFrame, percentiles: tuple[float, ...] = PERCENTILES,
             est.append(np.interp(np.array(percentiles) * (total - 1), ranks, mean[a:b]).tolist())
         return out.assign(n=n, est=est)
 
-    return _by_group(digests, use, "dim string, `key` string, slice string, metric string, n bigint, est array<double>", delta)
+    return _by_group(_tree(digests, delta), use, "dim string, `key` string, slice string, metric string, n bigint, est array<double>", delta)
 
 
 def certified(df: DataFrame, est: DataFrame, dims: list[str], metrics: list[str], percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
@@ -163,14 +179,13 @@ def certified(df: DataFrame, est: DataFrame, dims: list[str], metrics: list[str]
     """
     parts: list[DataFrame] = []
     for dim in dims:
-        own = est.where(F.col("dim") == dim).groupBy("key").pivot("metric", metrics).agg(F.first("est"))
-        own = own.select(F.struct(F.col("key").alias("k")).alias("g"), *[F.col(f"`{m}`").alias(f"e{j}") for j, m in enumerate(metrics)])
+        held = est.where(F.col("dim") == dim)
+        own = held.groupBy("key").pivot("metric", metrics).agg(F.first("est").alias("e"), F.max("n").alias("n"))
+        sizes = F.greatest(*[F.coalesce(f"`{m}_n`", F.lit(0)) for m in metrics], F.lit(0))
+        own = own.select(F.struct(F.col("key").alias("k")).alias("g"), sizes.alias("size"), *[F.col(f"`{m}_e`").alias(f"e{j}") for j, m in enumerate(metrics)])
+        total = held.groupBy("metric").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         rows = df.select(F.struct(F.col(dim).cast("string").alias("k")).alias("g"), *[F.col(m).cast("double").alias(f"m{j}") for j, m in enumerate(metrics)])
-        if small_enough(own, BROADCAST_GROUPS):
-            joined = rows.join(F.broadcast(own), "g")
-        else:
-            salt = F.pmod(F.xxhash64(*[f"m{j}" for j in range(len(metrics))]), F.lit(SALTS)).cast("int")
-            joined = rows.withColumn("s", salt).join(own.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "s"])
+        joined = with_groups(rows, own, total, most=BROADCAST_GROUPS)
         sums = []
         for j in range(len(metrics)):
             value = F.when(~F.isnan(f"m{j}"), F.col(f"m{j}"))
@@ -197,7 +212,8 @@ def percentiles(
     """(dim, key, metric, n, p, estimate, rank_error) for each value of each dim; rank_error is counted, not assumed.
 
     Digests are made by slice and merged. Where a counted error exceeds the bound, the group is digested again with a
-    delta four times as large, at most `rounds` times in all. Nulls, NaN and infinities: see digest(). Groups without
+    delta four times as large, `rounds` times in all; what is still beyond it then is replaced by the exact percentiles, so
+    that no error exceeds the bound. Nulls, NaN and infinities: see digest(). Groups without
     values and empty tables give no rows.
     """
     same = F.expr("r.dim = b.dim and r.key <=> b.key and r.metric = b.metric")
@@ -211,10 +227,16 @@ def percentiles(
         est = materialise(estimates(parts.withColumn("slice", F.lit(None).cast("string")), ps, fine))
         result = materialise(certified(df, est, dims, metrics, ps))
         bad = result.where(F.col("rank_error") > bound).select("dim", "key", "metric").distinct()
-        if k == rounds - 1 or bad.isEmpty():
+        if bad.isEmpty():
             done.append(result)
             break
         done.append(result.alias("r").join(bad.alias("b"), same, "left_anti"))
+    else:
+        each = [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("key"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for d in dims for m in metrics]
+        left = df.select(F.explode(F.array(*each)).alias("r")).select("r.*").alias("r").join(bad.alias("b"), same, "left_semi")
+        exact = exact_percentiles(left, ["dim", "key", "metric"], "x", ps)
+        pairs = F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.col("q").alias("e"))).alias("v")
+        done.append(exact.select("dim", "key", "metric", "n", pairs).select("dim", "key", "metric", "n", "v.p", F.col("v.e").alias("estimate"), F.lit(0.0).alias("rank_error")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

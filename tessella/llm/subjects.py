@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.leakage import Patterns, words
+from tessella.llm.leakage import BLOCK_CHARS, Patterns, item_blocks, words
 from tessella.session import materialise, ship, small_enough, spread
 
 #: Hashed features; smoothing of their counts; rounds of expectation-maximisation.
@@ -31,8 +31,10 @@ NONE, TRUST = 0.2, 0.95
 HELD_OUT = 5
 #: Share of a document's subject-bearing sentences, least number of them, and most subjects.
 SHARE, SENTENCES, MOST = 1 / 3, 2, 2
-#: Labelled documents (about 100 bytes each) whose labels are broadcast; beyond, they are joined by a shuffle. Excluded texts.
-BROADCAST_LABELS, EXCLUDED = 500_000, 100_000
+#: Labelled documents (about 100 bytes each) whose labels are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LABELS = 500_000
+#: Different sentences that a task remembers.
+REMEMBERED = 200_000
 #: Features worked on at once in a task.
 CHUNK = 500_000
 
@@ -63,51 +65,104 @@ def sentences(text: str) -> list[str]:
 
 
 class Featuriser:
-    def __init__(self, excluded: list[tuple[int, str]]) -> None:
-        self.patterns = Patterns(excluded) if excluded else None
-        self.known: dict[str, int] = {}
+    """Hashed words and word pairs of a text's sentences.
+
+    Sentences come again and again in a corpus, so their words and features are remembered, up to REMEMBERED of them.
+    """
+
+    def __init__(self, patterns: Patterns | None = None) -> None:
+        self.patterns = patterns
+        self.numbers: dict[str, int] = {}
+        self.seen: dict[str, tuple[list[str], list[int]]] = {}
 
     def _number(self, x: str) -> int:
         import xxhash
 
-        n = self.known.get(x)
+        n = self.numbers.get(x)
         if n is None:
-            if len(self.known) > 2_000_000:
-                self.known.clear()
-            n = self.known[x] = xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass"))
+            if len(self.numbers) > 2_000_000:
+                self.numbers.clear()
+            n = self.numbers[x] = xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass"))
         return n
 
-    def __call__(self, text: str) -> list[list[int]]:
+    def _features(self, w: list[str]) -> list[int]:
+        n = list(map(self._number, w))
+        # a pair's number is mixed from its words' numbers, so that no strings are made for pairs
+        return [x % FEATURES for x in n] + [((a * 0x9E3779B1 ^ b) * 0x85EBCA6B >> 21) % FEATURES for a, b in zip(n, n[1:])]
+
+    def split(self, text: str) -> list[tuple[list[str], list[int]]]:
+        """(words, features) of each sentence."""
         out = []
         for s in sentences(text):
-            w = words(s)
-            if len(w) < 2 or self.patterns and self.patterns.hits(w):
-                continue
-            n = list(map(self._number, w))
-            # a pair's number is mixed from its words' numbers, so that no strings are made for pairs
-            out.append([x % FEATURES for x in n] + [((a * 0x9E3779B1 ^ b) * 0x85EBCA6B >> 21) % FEATURES for a, b in zip(n, n[1:])])
+            own = self.seen.get(s)
+            if own is None:
+                if len(self.seen) > REMEMBERED:
+                    self.seen.clear()
+                w = words(s)
+                own = self.seen[s] = w, self._features(w)
+            out.append(own)
         return out
 
+    def covered(self, each: list[tuple[list[str], list[int]]]) -> set[int]:
+        """Places of the words, of all sentences one after the other, that lie in passages of excluded texts."""
+        doc = [x for w, _ in each for x in w]
+        return {k for own in self.patterns.search(doc).values() for begin, end, _ in own for k in range(begin, end)} if self.patterns else set()
+
+    def __call__(self, text: str, shut: set[int] | None = None) -> list[list[int]]:
+        """Features of the sentences with two words or more besides those at the places `shut`, by default covered()."""
+        each = self.split(text)
+        shut = self.covered(each) if shut is None else shut
+        if not shut:
+            return [f for w, f in each if len(w) >= 2]
+        out, at = [], 0
+        for w, f in each:
+            if shut.isdisjoint(range(at, at + len(w))):
+                left = f if len(w) >= 2 else None
+            else:
+                rest = [x for k, x in enumerate(w, at) if k not in shut]
+                left = self._features(rest) if len(rest) >= 2 else None
+            at += len(w)
+            if left is not None:
+                out.append(left)
+        return out
 
-def features(docs: DataFrame, doc_id: str, text: str, excluded: DataFrame | None) -> DataFrame:
-    """(doc_id, lengths, feats): the features of a document's sentences, one after the other, and how many each has."""
-    ship(docs.sparkSession)
+
+def features(docs: DataFrame, doc_id: str, text: str, excluded: DataFrame | None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, lengths, feats): the features of a document's sentences, one after the other, and how many each has.
+
+    Words in passages of excluded texts are left out. These texts are taken in blocks of about block_chars characters; with
+    more than one, each is searched in a pass of its own, which adds the places that it covers.
+    """
+    spark = docs.sparkSession
+    ship(spark)
     kind = dict(docs.dtypes)[doc_id]
-    shut: list[tuple[int, str]] = []
-    if excluded is not None:
-        if not small_enough(excluded, EXCLUDED):
-            raise ValueError(f"more than {EXCLUDED} excluded texts")
-        shut = [(i, r[0]) for i, r in enumerate(excluded.collect()) if r[0]]  # bounded by the line above
-    shared = docs.sparkSession.sparkContext.broadcast(shut)
+    blocks = item_blocks(excluded.select(F.lit(0).alias("i"), F.col(excluded.columns[0]).alias("t")), "i", "t", block_chars) if excluded is not None else iter(())
+    block, following = next(blocks, []), next(blocks, None)
+    rows = spread(docs.select(F.col(doc_id), F.col(text).alias("text"))).withColumn("shut", F.lit(None).cast("array<int>"))
+    while following is not None:
+        shared = spark.sparkContext.broadcast(block)
+
+        def cover(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            f = Featuriser(Patterns(shared.value))
+            for b in batches:
+                shut = [sorted({*(old or ()), *f.covered(f.split(t))}) if t else None for t, old in zip(b[1].to_pylist(), b[2].to_pylist(), strict=True)]
+                yield pa.record_batch([b[0], b[1], pa.array(shut, pa.list_(pa.int32()))], names=[doc_id, "text", "shut"])
+
+        rows = materialise(rows.mapInArrow(cover, f"`{doc_id}` {kind}, text string, shut array<int>"))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    last = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Featuriser(shared.value)
+        f = Featuriser(Patterns(last.value) if last.value else None)
         for b in batches:
-            each = [f(t) if t else [] for t in b[1].to_pylist()]
+            each = []
+            for t, old in zip(b[1].to_pylist(), b[2].to_pylist(), strict=True):
+                each.append(f(t, {*old, *f.covered(f.split(t))} if old else None) if t else [])
             lengths = pa.array([[len(s) for s in d] for d in each], pa.list_(pa.int32()))
             yield pa.record_batch([b[0], lengths, pa.array([[x for s in d for x in s] for d in each], pa.list_(pa.int32()))], names=[doc_id, "lengths", "feats"])
 
-    return spread(docs.select(doc_id, text)).mapInArrow(run, f"`{doc_id}` {kind}, lengths array<int>, feats array<int>")
+    return rows.mapInArrow(run, f"`{doc_id}` {kind}, lengths array<int>, feats array<int>")
 
 
 def _labels(labels: DataFrame, doc_id: str, subject: str, names: list[str], none: str) -> DataFrame:
@@ -167,7 +222,7 @@ def _counts(table: DataFrame, classes: int, weights: np.ndarray | None) -> np.nd
     Each task sums its documents first and passes on at most FEATURES rows, whatever their number.
     """
     shared = table.sparkSession.sparkContext.broadcast(weights)
-    schema = "f int, " + ", ".join(f"c{k} double" for k in range(classes))
+    schema = "f int, " + ", ".join(f"c{k} float" for k in range(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((classes, FEATURES))
@@ -189,10 +244,10 @@ def _counts(table: DataFrame, classes: int, weights: np.ndarray | None) -> np.nd
                     p = posteriors(scores(w, feats, starts), doc, per_doc, prior, known)
                 if len(starts):
                     of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(feats)]))
-                    for k in range(classes):
-                        total[k] += np.bincount(feats, p[of, k], FEATURES)
+                    for k, own in enumerate(np.ascontiguousarray(p.T)):
+                        total[k] += np.bincount(feats, own[of], FEATURES)
         at = np.flatnonzero(total.sum(0) > 1e-6)
-        yield pa.record_batch([pa.array(at.astype("int32")), *(pa.array(total[k][at]) for k in range(classes))], names=["f", *(f"c{k}" for k in range(classes))])
+        yield pa.record_batch([pa.array(at.astype("int32")), *(pa.array(total[k][at].astype("float32")) for k in range(classes))], names=["f", *(f"c{k}" for k in range(classes))])
 
     summed = table.mapInArrow(run, schema).groupBy("f").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)])
     got = summed.toArrow()  # at most FEATURES rows

@@ -1,40 +1,28 @@
 """The N highest-scoring items of every group, by simultaneous bisection of per-group cutoffs.
 
 Every item has an order-preserving code: first the 64 bits of its score, then, where scores tie at a cutoff, the bytes of
-its identifier, seven at a time from the first that tells apart. A group's cutoff lies in an interval of codes. A round divides the intervals of all groups
-at once at SPLIT - 1 midpoints, counts the rows above each (partial counts on the map side: at most SPLIT rows per group and
-task are shuffled), and keeps the part in which the N-th row lies. Only rows inside their group's interval stay for the
-next round, about one in SPLIT. A group is done when the rows from some midpoint up are exactly as many as it still needs,
-or when its interval holds no more than FINISH rows, of which the one at the cutoff is then taken by its place. No group is
-ever sorted or gathered whole; only the N rows that each keeps are numbered at the end.
+its identifier, seven at a time from the first that tells apart. A group's cutoff lies in an interval of codes. A round divides
+the intervals of all groups at once at SPLIT - 1 midpoints (the next bits in which the ends of an interval differ, so that
+rounds are never lost on values that lie close together), counts the rows above each (partial counts on the map side: at most
+SPLIT rows per group and task are shuffled), and keeps the part in which the N-th row lies. Only rows inside their group's
+interval stay for the next round, about one in SPLIT. A group is done when the rows from some midpoint up are exactly as many as
+it still needs. No group is ever sorted or gathered whole; only the N rows that each keeps are numbered at the end.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import materialise, ship, small_enough
+from tessella.operators.ranks import code_of, part_of, with_division, with_groups
+from tessella.session import materialise, ship
 
-#: Parts into which a round divides each group's interval.
+#: Parts into which a round divides each group's interval, a power of two.
 SPLIT = 64
-#: Copies of a group's interval in a join, so that the rows of one huge group spread over as many tasks.
-SALTS = 16
-#: Groups (about 100 bytes each) whose intervals are broadcast.
-BROADCAST_GROUPS = 200_000
-#: Rows in an interval from which on it is divided again; a smaller one is sorted.
-FINISH = 64
 #: Bytes of the identifier in one code.
 CHUNK = 7
 
 
-def _bits(scores: pd.Series) -> pd.Series:
-    """Bigints that order as the doubles do (the sign bit apart, IEEE 754 orders as integers); -0.0 equals 0.0."""
-    b = (scores.to_numpy("float64") + 0.0).view("int64")
-    return pd.Series(b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF))
-
-
 def _common_bytes(a: Column, b: Column) -> Column:
     """How many bytes two identifiers begin with alike."""
     x, y = F.hex(a.cast("binary")), F.hex(b.cast("binary"))
@@ -50,79 +38,51 @@ def _item_code(item: Column, skip: Column) -> Column:
     return -(F.conv(F.rpad(part, 2 * CHUNK, "0"), 16, 10).cast("bigint") * 8 + (F.length(part) / 2).cast("bigint"))
 
 
-def _within(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """rows joined with their group's line of state; groups without one drop out.
-
-    State is broadcast while it has few groups; else it is repeated SALTS times, so that a huge group's rows spread.
-    """
-    if small_enough(state, BROADCAST_GROUPS):
-        return rows.join(F.broadcast(state), "g")
-    spread = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")).join(spread, ["g", "salt"]).drop("salt")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def _bisect(rows: DataFrame, state: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
-    """Cutoffs of the groups of state (g, need, lo, hi), which have more than `need` of rows (g, item, code) in [lo, hi].
+def _bisect(rows: DataFrame, state: DataFrame, split: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """Cutoffs of the groups of state (g, size, need, lo, hi), which have more than `need` of rows (g, item, code) in [lo, hi].
 
-    First (g, cut, end): rows with a code above cut are in, of those equal to it the ones up to `end`, all if that is null.
-    Second (g, cut, need): rows above cut are in, and `need` of the more than FINISH rows equal to it.
+    First (g, size, cut): rows with a code from cut on are in. Second (g, size, cut, need): rows above cut are in, and `need`
+    of the more than that many equal to it. total: number of rows.
     """
     done: list[DataFrame] = []
     ties: list[DataFrame] = []
-    down = Window.partitionBy("g").orderBy(F.desc("part"))
-    while True:
-        lo, code = F.col("lo").cast("double"), F.col("code").cast("double")
-        width = F.col("hi").cast("double") - lo
-        # Conversion to double keeps the order; where it makes the ends equal, the part is told by the exact ends
-        part = F.when(width > 0, F.least(F.lit(split - 1), F.floor((code - lo) / width * split))).otherwise(F.when(F.col("code") > F.col("lo"), 1).otherwise(0))
-        counts = _within(rows, state).where("code between lo and hi").groupBy("g", "need", part.cast("int").alias("part"))
-        counts = counts.agg(F.count("*").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"))
+    down = Window.partitionBy("g").orderBy(F.desc("part"))  # at most `split` parts a group
+    while not state.isEmpty():
+        inside = with_groups(rows, with_division(state, split.bit_length() - 1), total).where("code between lo and hi")
+        counts = inside.groupBy("g", "size", "need", part_of().alias("part")).agg(F.count("*").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"))
         above = F.sum("n").over(down) - F.col("n")
         found = counts.withColumn("need", F.col("need") - above).where("need between 1 and n")
-        found = materialise(found.select("g", "need", "n", "lo", "hi"))
-        done.append(found.where("n = need").select("g", F.col("lo").alias("cut"), F.lit(None).cast("string").alias("end")))
-        ties.append(found.where(f"n > {FINISH} and n > need and lo = hi").select("g", F.col("lo").alias("cut"), "need"))
-        left = found.where(f"n > need and (lo < hi or n <= {FINISH})")
-        if left.isEmpty():
-            break
-        rows = materialise(_within(rows, left).where("code between lo and hi").select("g", "item", "code", "need", "n"))
-        place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("code"), F.asc("item")))  # at most FINISH rows a group
-        done.append(rows.where(f"n <= {FINISH}").withColumn("at", place).where("at = need").select("g", F.col("code").alias("cut"), F.col("item").alias("end")))
-        state = left.where(f"n > {FINISH}").select("g", "need", "lo", "hi")
-        rows = rows.where(f"n > {FINISH}").select("g", "item", "code")
-        if state.isEmpty():
-            break
-    out, tied = done[0], ties[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    for t in ties[1:]:
-        tied = tied.unionByName(t)
-    return out, tied
-
-
-def _tie_ends(rows: DataFrame, need: DataFrame, split: int) -> DataFrame:
-    """(g, end): the last identifier that is in, of the rows (g, item) of groups (g, need) that need some of them.
+        found = materialise(found.select("g", "size", "need", "n", "lo", "hi"))
+        done.append(found.where("n = need").select("g", "size", F.col("lo").alias("cut")))
+        ties.append(found.where("n > need and lo = hi").select("g", "size", F.col("lo").alias("cut"), "need"))
+        state = found.where("n > need and lo < hi").drop("n")
+        rows = materialise(with_groups(rows, state, total).where("code between lo and hi").select("g", "item", "code"))
+    return _union(done), _union(ties)
+
+
+def _tie_ends(rows: DataFrame, need: DataFrame, split: int, total: int) -> DataFrame:
+    """(g, end): the last identifier that is in, of the rows (g, item) of groups (g, size, need) that need some of them.
 
     What a group's smallest and largest identifier begin with alike is skipped, so that the code tells the others apart;
     where more than seven bytes are alike in a part, the next codes are taken in it alone.
     """
     ends: list[DataFrame] = []
-    while True:
-        skip = _common_bytes(F.min("item"), F.max("item")).alias("skip")
-        coded = materialise(_within(rows, rows.groupBy("g").agg(skip)).select("g", "item", _item_code(F.col("item"), F.col("skip")).alias("code")))
+    while not need.isEmpty():
+        skip = rows.groupBy("g").agg(F.count("*").alias("size"), _common_bytes(F.min("item"), F.max("item")).alias("skip"))
+        coded = materialise(with_groups(rows, skip, total).select("g", "item", _item_code(F.col("item"), F.col("skip")).alias("code")))
         bounds = coded.groupBy("g").agg(F.min("code").alias("lo"), F.max("code").alias("hi"))
-        level, tied = _bisect(coded, materialise(need.join(bounds, "g")), split)
-        # the identifier at a cutoff without a tie: the largest one with a code from the cutoff on
-        open_end = level.where("end is null")
-        plain = _within(coded, open_end).where("code >= cut").groupBy("g").agg(F.max("item").alias("end"))
-        ends += [level.where("end is not null").select("g", "end"), plain]
-        if tied.isEmpty():
-            break
-        rows, need = materialise(_within(coded, tied).where("code = cut").select("g", "item")), tied.select("g", "need")
-    out = ends[0]
-    for e in ends[1:]:
-        out = out.unionByName(e)
-    return out
+        level, tied = _bisect(coded, materialise(need.join(bounds, "g")), split, total)
+        # where no tie is left, the largest identifier with a code from the cutoff on
+        ends.append(with_groups(coded, level, total).where("code >= cut").groupBy("g").agg(F.max("item").alias("end")))
+        rows, need = materialise(with_groups(coded, tied, total).where("code = cut").select("g", "item")), materialise(tied.select("g", "size", "need"))
+    return _union(ends)
 
 
 def top_n(df: DataFrame, groups: list[str], item: str, score: str, n: int, rank: str = "rank_no", split: int = SPLIT) -> DataFrame:
@@ -138,18 +98,19 @@ def top_n(df: DataFrame, groups: list[str], item: str, score: str, n: int, rank:
     value = F.col(score).cast("double")
     kept = df.where(F.col(item).isNotNull() & F.col(groups[0]).isNotNull() & value.isNotNull() & ~F.isnan(value))
     best = kept.select(g.alias("g"), F.col(item).cast("string").alias("item"), value.alias("v")).groupBy("g", "item").agg(F.max("v").alias("v"))
-    to_bits = F.pandas_udf(_bits, "bigint")
-    base = materialise(best.select("g", "item", to_bits("v").alias("code")))
+    base = materialise(best.select("g", "item", code_of(F.col("v")).alias("code")))
 
-    sizes = materialise(base.groupBy("g").agg(F.count("*").alias("m"), F.min("code").alias("lo"), F.max("code").alias("hi")))
-    cuts = sizes.where(F.col("m") <= n).select("g", F.col("lo").alias("cut"), F.lit(None).cast("string").alias("end"))
-    state = sizes.where(F.col("m") > n).select("g", F.lit(n).cast("bigint").alias("need"), "lo", "hi")
+    sizes = materialise(base.groupBy("g").agg(F.count("*").alias("size"), F.min("code").alias("lo"), F.max("code").alias("hi")))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    none = F.lit(None).cast("string").alias("end")
+    cuts = [sizes.where(F.col("size") <= n).select("g", "size", F.col("lo").alias("cut"), none)]
+    state = sizes.where(F.col("size") > n).select("g", "size", F.lit(n).cast("bigint").alias("need"), "lo", "hi")
     if not state.isEmpty():
-        plain, tied = _bisect(base, state, split)
-        cuts = cuts.unionByName(plain)
+        plain, tied = _bisect(base, state, split, total)
+        cuts.append(plain.select("g", "size", "cut", none))
         if not tied.isEmpty():
-            rows = materialise(_within(base, tied).where("code = cut").select("g", "item"))
-            cuts = cuts.unionByName(tied.join(_tie_ends(rows, tied.select("g", "need"), split), "g").select("g", "cut", "end"))
-    chosen = _within(base, materialise(cuts)).where("code > cut or (code = cut and (end is null or item <= end))")
+            rows = materialise(with_groups(base, tied, total).where("code = cut").select("g", "item"))
+            cuts.append(tied.join(_tie_ends(rows, tied.select("g", "size", "need"), split, total), "g").select("g", "size", "cut", "end"))
+    chosen = with_groups(base, materialise(_union(cuts)), total).where("code > cut or (code = cut and (end is null or item <= end))")
     numbered = chosen.withColumn(rank, F.row_number().over(Window.partitionBy("g").orderBy(F.desc("code"), F.asc("item"))).cast("bigint"))
     return numbered.select(*[F.col(f"g.g{i}").alias(c) for i, c in enumerate(groups)], F.col("item").alias(item), rank)

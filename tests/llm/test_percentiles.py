@@ -68,6 +68,24 @@ def test_failed_groups_are_digested_again(table, monkeypatch):
     assert got.where("rank_error > 0.002").count() == 0 and got.groupBy("dim", "key", "metric", "p").count().where("count > 1").count() == 0
 
 
+def test_what_stays_beyond_the_bound_is_counted_exactly(table):
+    rows, df = table
+    got = P.percentiles(df, ["d"], ["x"], None, delta=4, bound=1e-9, rounds=1).collect()
+    assert len({(r.key, r.p) for r in got}) == len(got) and max(r.rank_error for r in got) <= 1e-9
+    values = np.array([x[2] for x in rows if x[0] == "hot" and x[2] is not None and x[2] == x[2]])
+    for r in got:
+        if r.key == "hot":
+            assert r.n == len(values) and r.estimate == pytest.approx(np.percentile(values, 100 * r.p), rel=1e-12)
+
+
+def test_digests_of_many_tasks_merge_in_a_tree(table, monkeypatch):
+    _, df = table
+    want = {(r.key, r.slice): r.n for r in P.estimates(P.digest(df, ["d"], ["x"], F.col("day"))).collect()}
+    monkeypatch.setattr(P, "FAN_IN", 2)
+    got = P.estimates(P.digest(df, ["d"], ["x"], F.col("day"))).collect()
+    assert {(r.key, r.slice): r.n for r in got} == want
+
+
 def test_days_merge_to_the_whole(table):
     rows, df = table
     daily = P.merge(P.digest(df, ["d"], ["x"], F.col("day")))
@@ -85,7 +103,7 @@ def test_days_merge_to_the_whole(table):
 def test_many_groups_per_task_and_salted_join(table, monkeypatch):
     rows, df = table
     monkeypatch.setattr(P, "GATHERED", 50)
-    monkeypatch.setattr(P, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(P, "BROADCAST_GROUPS", 2)
     got = P.percentiles(df.limit(2000), ["d", "day"], ["x"])
     assert got.count() > 0 and got.where("rank_error > 0.01").count() == 0
 

@@ -7,6 +7,7 @@ import pytest
 
 from tessella.llm import topn
 from tessella.llm.topn import top_n
+from tessella.operators import ranks
 
 SCHEMA = "g long, h string, i string, v double, rank_no string, lo string"
 
@@ -29,11 +30,10 @@ def rows_of(seed, n=2500):
     return [(rng.choice([1, 1, 1, 1, 2, 3, None, 4]), rng.choice(["x", None]), rng.choice(ids), rng.choice([*values, rng.random()]), "clash", "clash") for _ in range(n)]
 
 
-@pytest.mark.parametrize(("split", "finish", "broadcast"), [(64, 64, 10**6), (2, 3, 10**6), (5, 3, 0)])
-def test_against_brute_force(spark, monkeypatch, split, finish, broadcast):
-    """With many ties, a group of half the rows, few parts a round, short intervals and joins by salt."""
-    monkeypatch.setattr(topn, "FINISH", finish)
-    monkeypatch.setattr(topn, "BROADCAST_GROUPS", broadcast)
+@pytest.mark.parametrize(("split", "broadcast"), [(64, 10**6), (2, 10**6), (4, 0), (8, 3)])
+def test_against_brute_force(spark, monkeypatch, split, broadcast):
+    """With many ties, a group of half the rows, few parts a round, and joins of hot and other groups without broadcast."""
+    monkeypatch.setattr(ranks, "BROADCAST_GROUPS", broadcast)
     rows = rows_of(split)
     got = top_n(spark.createDataFrame(rows, SCHEMA), ["g", "h"], "i", "v", 7, split=split)
     assert got.columns == ["g", "h", "i", "rank_no"]
@@ -41,12 +41,28 @@ def test_against_brute_force(spark, monkeypatch, split, finish, broadcast):
     assert len(out) == len(set(out)) and set(out) == brute(rows, 7)
 
 
-def test_all_scores_equal(spark, monkeypatch):
-    monkeypatch.setattr(topn, "FINISH", 4)
+def test_all_scores_equal(spark):
     rows = [(1, "x", f"same beginning {k:04d}", 1.0, "", "") for k in range(500)]
     got = top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "i", "v", 3)
     assert sorted((r.rank_no, r.i) for r in got.collect()) == [(k + 1, f"same beginning {k:04d}") for k in range(3)]
 
 
+def test_scores_one_last_bit_apart(spark, monkeypatch):
+    """They need no more rounds than others: nine bits tell 300 of them apart."""
+    import math
+
+    rounds = []
+    divide = topn.with_division
+    monkeypatch.setattr(topn, "with_division", lambda *a: rounds.append(1) or divide(*a))
+    v, rows = 0.7, []
+    for k in range(300):
+        rows.append((1, "x", f"i{k}", v, "", ""))
+        v = math.nextafter(v, 1)
+    rows += [(1, "x", "low", -1e300, "", ""), (1, "x", "high", 1e300, "", "")]
+    got = top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "i", "v", 4)
+    assert [r.i for r in got.orderBy("rank_no").collect()] == ["high", "i299", "i298", "i297"]
+    assert len(rounds) <= 4
+
+
 def test_empty(spark):
     assert top_n(spark.createDataFrame([], SCHEMA), ["g", "h"], "i", "v", 3).count() == 0
