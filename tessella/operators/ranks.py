@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import number
-from tessella.session import materialise, ship, small_enough
+from tessella.session import discard, materialise, ship, small_enough
 
 #: Bits by which a round divides an interval.
 BITS = 10
@@ -82,6 +82,7 @@ def values_at(rows: DataFrame, wanted: DataFrame, bits: int = BITS) -> DataFrame
     done = state.where("lo = hi").select("g", F.explode(F.expr("filter(ranks, r -> r >= 0 and r < size)")).alias("rank"), F.col("lo").alias("code"))
     state = state.where("lo < hi")
     before = Window.partitionBy("g", "from").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^bits parts
+    held: list[DataFrame] = []  # rows of this function's own
     while not state.isEmpty():
         lines = with_division(state.select("g", "size", "lo", "hi"), bits)
         parts = with_groups(rows, lines, total).where("code between lo and hi").groupBy("g", F.col("lo").alias("from"), part_of().alias("part"))
@@ -92,7 +93,10 @@ def values_at(rows: DataFrame, wanted: DataFrame, bits: int = BITS) -> DataFrame
         found = materialise(own.select("g", "size", F.col("least").alias("lo"), F.col("most").alias("hi"), "below", "ranks"))
         done = done.unionByName(found.where("lo = hi").select("g", F.explode("ranks").alias("rank"), F.col("lo").alias("code")))
         state = found.where("lo < hi")
-        rows = materialise(with_groups(rows, state.select("g", "size", "lo", "hi"), total).where("code between lo and hi").select("g", "code"))
+        fewer = materialise(with_groups(rows, state.select("g", "size", "lo", "hi"), total).where("code between lo and hi").select("g", "code"))
+        discard(*held)
+        rows, held = fewer, [fewer]
+    discard(*held)
     return done
 
 

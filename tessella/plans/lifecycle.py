@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import inference
 from tessella.operators.grid import task_grid
-from tessella.plans.common import personae, prompts
+from tessella.plans.common import SQL_SYSTEM_PROMPT, personae, prompts, sql_strip
 from tessella.sources import files
 from tessella.session import shared_dir, table
 from tessella.streaming.incremental import run_stream
@@ -55,10 +55,10 @@ def run_discovery(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stub_run(spark: SparkSession, d: str) -> DataFrame:
-    """The tasks of results answered anew by the stub backend."""
-    tasks = table(spark, d, "results").dropna(subset=["persona", "prompt_id", "rep_idx"]).fillna("", ["system_prompt", "question"])
-    todo = tasks.select("persona", "system_prompt", "prompt_id", "rep_idx", "question").dropDuplicates(["persona", "prompt_id", "rep_idx"])
-    out = inference.run_single(todo, inference.backend("stub"))
+    """The tasks of results, of each key the last line's, answered anew by the stub backend."""
+    rows = table(spark, d, "results").dropna(subset=["persona", "prompt_id", "rep_idx"]).fillna("", ["system_prompt", "question"])
+    last = rows.groupBy("persona", "prompt_id", "rep_idx").agg(F.max_by(F.struct("system_prompt", "question"), "ordinal").alias("t"))
+    out = inference.run_single(last.select("persona", "t.system_prompt", "prompt_id", "rep_idx", "t.question"), inference.backend("stub"))
     return out.groupBy("prompt_id").agg(F.count("*").alias("answers"), F.sum("num_tokens").alias("tokens"), F.count_distinct("prompt").alias("prompts"))
 
 
@@ -89,7 +89,28 @@ def stream_append_resume(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (prompt_lines, prompt_array, results_files, run_discovery, stub_run, stub_two_turns, stub_embeddings, stream_append_resume)}
 _PRO = "WITH pro AS (SELECT question, id, row_number() OVER (ORDER BY id) - 1 AS ordinal FROM prompts)"
+_PREFIX = "CASE WHEN persona = '' THEN '<|im_start|>' ELSE '<|im_start|>' || persona || chr(10) END"
+
+
+def _turns(system: str, user: str) -> str:
+    return f"'<|im_start|>system' || chr(10) || {system} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {user} || '<|im_end|>' || chr(10) || {_PREFIX}"
+
+
+_OUTPUT = sql_strip("CASE WHEN instr(response, '</think>') > 0 THEN substr(response, instr(response, '</think>') + 8) ELSE response END")
+_BYTE = "16 * (instr('0123456789abcdef', substr(h, {0}, 1)) - 1) + instr('0123456789abcdef', substr(h, {0} + 1, 1)) - 1 - 127.5::DOUBLE"
 SQL = {
+    "stub_run": f"""
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY persona, prompt_id, rep_idx ORDER BY ordinal DESC) AS n FROM results WHERE persona IS NOT NULL AND prompt_id IS NOT NULL AND rep_idx IS NOT NULL),
+        p AS (SELECT prompt_id, {_turns("coalesce(system_prompt, '')", "coalesce(question, '')")} AS prompt FROM r WHERE n = 1)
+        SELECT prompt_id, count(*) AS answers, CAST(sum(length(prompt) % 50 + 10) AS BIGINT) AS tokens, count(DISTINCT prompt) AS prompts FROM p GROUP BY prompt_id""",
+    # an answer of the stub is as distinct as its prompt
+    "stub_two_turns": f"""
+        WITH g AS (SELECT id AS prompt_id, {SQL_SYSTEM_PROMPT} AS system_prompt, persona, question, follow_up FROM personae, consistency_prompts), p AS (SELECT *, {_turns('system_prompt', 'question')} AS one FROM g)
+        SELECT prompt_id, count(*) AS rows, count(DISTINCT one) AS first, count(DISTINCT one || chr(10) || follow_up) AS second FROM p GROUP BY prompt_id""",
+    "stub_embeddings": f"""
+        WITH o AS (SELECT prompt_id, {_OUTPUT.replace('response', "coalesce(response, '')")} AS o FROM results), h AS (SELECT prompt_id, sha256(CASE WHEN o = '' THEN ' ' ELSE o END) AS h FROM o),
+        v AS (SELECT prompt_id, {_BYTE.format('1')} AS first, {' + '.join(f"pow({_BYTE.format(2 * i + 1)}, 2)" for i in range(8))} AS squares FROM h)
+        SELECT prompt_id, count(*) AS n, round(sum(CAST(first / sqrt(squares) AS FLOAT)::DOUBLE), 4) AS checksum FROM v GROUP BY prompt_id""",
     "prompt_lines": f"{_PRO} SELECT ordinal, question, CASE WHEN ordinal % 3 = 0 THEN ordinal ELSE id END AS prompt_id FROM pro",
     "prompt_array": f"""{_PRO}, q AS (SELECT ordinal AS n, coalesce(question, '') AS question, id FROM pro WHERE id IS NOT NULL)
         SELECT n, 0::BIGINT AS ordinal, '{{' || question AS question, 0::BIGINT AS prompt_id FROM q UNION ALL SELECT n, 1, question, 1 FROM q UNION ALL SELECT n, 2, question, id FROM q""",

@@ -11,7 +11,7 @@ from tessella.functions.text import preview, remaining
 from tessella.operators import compare
 from tessella.operators.summary import report
 from tessella.plans.common import rounded, sql_number, sql_round
-from tessella.session import table
+from tessella.session import materialise, table
 
 
 _SAME = ["response", "avg_entropy"]
@@ -102,12 +102,14 @@ def agreement_histograms(spark: SparkSession, d: str) -> DataFrame:
     return rounded(compare.histogram(p, "diff", 60, -0.3, 0.3, by="identical"))
 
 
+def report_of(paired: DataFrame) -> DataFrame:
+    """(section, metric, value): what a printed report on two runs says, as a table."""
+    parts = {"responses": compare.response_agreement(paired), "ratio of means": compare.ratio_of_means(paired), "tokens": compare.token_differences(paired), "anomalies": compare.anomaly_counts(paired)}
+    return reduce(DataFrame.unionByName, [report(k, v) for k, v in parts.items()])
+
+
 def comparison_report(spark: SparkSession, d: str) -> DataFrame:
-    """The printed report of a comparison as a table: section, metric, value."""
-    p = _pairs(spark, d, [*_CLASS, "think_end_position"])
-    parts = {"responses": compare.response_agreement(p), "ratio of means": compare.ratio_of_means(p), "tokens": compare.token_differences(p), "anomalies": compare.anomaly_counts(p)}
-    lines = [report(k, v) for k, v in parts.items()]
-    return rounded(reduce(DataFrame.unionByName, lines))
+    return rounded(report_of(materialise(_pairs(spark, d, [*_CLASS, "think_end_position"]))))  # one join for all parts
 
 
 _FIELDS = ", ".join(compare.FIELDS)

@@ -71,7 +71,19 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     at = f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}"
     w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(at)
-    return spark.read.schema(df.schema).parquet(at) if not partition_by else spark.read.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at) if not partition_by else spark.read.parquet(at)
+    out._tessella_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote, once nothing reads them any more: what came of them has been written."""
+    for t in tables:
+        at = getattr(t, "_tessella_at", None)
+        if at:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.config import RunConfig, configs_match
 from tessella.operators.grid import TASK_KEY, remaining_tasks
-from tessella.sources.files import load_config, save_config
+from tessella.sources.files import exists, load_config, save_config
 
 
 def resume_guard(spark: SparkSession, config: RunConfig) -> None:
@@ -30,26 +31,18 @@ def run_stream(spark: SparkSession, tasks_dir: str, schema, output_dir: str, ans
     """
     stream = spark.readStream.schema(schema).parquet(tasks_dir)
     results = f"{output_dir}/results"
+    ran: list[int] = []
 
     def one(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
         todo = batch.dropDuplicates(key)
-        done = _done(spark, results, number, key)
-        if done is not None:
-            todo = remaining_tasks(todo, done, key)
+        if exists(spark, results):
+            done = spark.read.schema(f"{todo.select(*key)._jdf.schema().toDDL()}, batch int").option("basePath", results).parquet(results)
+            todo = remaining_tasks(todo, done.where(F.col("batch") != number), key)  # only the keys' columns are read
         answer(todo).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        ran.append(number)
 
-    query = (
-        stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{output_dir}/checkpoint").trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{output_dir}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return len([p for p in query.recentProgress if p["numInputRows"] > 0])
-
-
-def _done(spark: SparkSession, results: str, number: int, key: list[str]) -> DataFrame | None:
-    """Keys finished by earlier batches; None before the first."""
-    try:
-        return spark.read.parquet(results).where(f"batch <> {number}").select(*key)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    return len(ran)

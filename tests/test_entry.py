@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import importlib
 import os
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-OWN = [n for n in entry.queries() if not n.startswith("p") or not n[1].isdigit() or n.startswith("p5_")]
+OWN = [n for m in entry._PLANS for n in importlib.import_module(m).QUERIES]
 
 
 @pytest.fixture(scope="module")
