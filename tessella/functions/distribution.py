@@ -70,6 +70,22 @@ def argmax(values: Column) -> Column:
     return F.nullif(F.array_position(values, F.array_max(values)), F.lit(0)) - 1
 
 
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) for each key: the same for the same seed, on every machine and in every run."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+
+
+def sampled(p: Column, u: Column) -> Column:
+    """Index of the token that a multinomial draw takes, given a uniform number in [0, 1): the first at which the sum of the
+    probabilities exceeds u; the last with a probability where rounding leaves none; null for an empty array."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"), F.lit(-1).alias("last"), F.lit(0).alias("i"))
+    step = lambda a, x: F.struct(
+        (a["sum"] + x).alias("sum"), F.when((a["at"] < 0) & (a["sum"] + x > u), a["i"]).otherwise(a["at"]).alias("at"),
+        F.when(x > 0, a["i"]).otherwise(a["last"]).alias("last"), (a["i"] + 1).alias("i"),
+    )
+    return F.aggregate(p, start, step, lambda a: F.nullif(F.when(a["at"] >= 0, a["at"]).otherwise(a["last"]), F.lit(-1))).cast("bigint")
+
+
 def l2_normalise(v: Column, eps: float = 1e-12) -> Column:
     """v divided by its length, or by eps if that is greater; elements as doubles."""
     d = F.transform(v, lambda x: x.cast("double"))

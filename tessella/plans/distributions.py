@@ -45,6 +45,13 @@ def greedy_token(spark: SparkSession, d: str) -> DataFrame:
     return _tokens(spark, d).select("vec_id", dist.argmax(F.col("logits")).alias("token"))
 
 
+def sampled_token(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens drawn at temperature 2 with given numbers; the logits of the metrics stay unscaled."""
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * SCALE / 2.0).alias("scaled"))
+    u = (F.col("vec_id") * 7919 + 13) % 10007 / F.lit(10007.0)
+    return dist.with_distribution(v, "scaled").select("vec_id", dist.sampled(F.col("p"), u).alias("token"))
+
+
 def normalised_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", F.posexplode(dist.l2_normalise(F.col("embedding"))).alias("dim", "value"))
     return rounded(v.groupBy("vec_id").agg(F.sum(F.col("value") * F.col("value")).alias("length2"), F.sum(F.col("value") * F.col("dim")).alias("weighted")))
@@ -88,7 +95,7 @@ _COLS = ", ".join(
 )
 
 QUERIES = {f.__name__: f for f in (
-    total_variance, token_entropy, truncated_entropy, logprob_section_metrics, greedy_token, normalised_vectors, sequence_section_metrics, generation_trim_eos,
+    total_variance, token_entropy, truncated_entropy, logprob_section_metrics, greedy_token, sampled_token, normalised_vectors, sequence_section_metrics, generation_trim_eos,
 )}
 SQL = {
     "total_variance": f"""
@@ -101,6 +108,10 @@ SQL = {
         SELECT vec_id, {sql_round('-list_sum(list_transform(top, lambda v: exp(v) * v))', 'entropy')},
             {sql_round(f'list_sum(list_transform(top[1:{TOP}], lambda v: exp(v)))', 'top_k_mass')} FROM k""",
     "greedy_token": f"WITH {_P} SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS token FROM t",
+    "sampled_token": f"""
+        WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE * {SCALE} / 2.0) AS l FROM embeddings), s AS (SELECT vec_id, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM x),
+        u AS (SELECT vec_id, generate_subscripts(e, 1) AS i, unnest(e) / list_sum(e) AS p FROM s), c AS (SELECT vec_id, i, sum(p) OVER (PARTITION BY vec_id ORDER BY i) AS c FROM u)
+        SELECT vec_id, CAST(min(i) - 1 AS BIGINT) AS token FROM c WHERE c > ((vec_id * 7919 + 13) % 10007) / 10007.0::DOUBLE GROUP BY vec_id""",
     "normalised_vectors": f"""
         WITH n AS (SELECT vec_id, greatest(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 1e-12) AS n, embedding FROM embeddings),
         x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE / n AS v FROM n)

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +88,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """df kept in memory and on disk for what reads it inside the with statement, as a dashboard's views do."""
+    held = df.persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; a directory of part files serves as well as a single file."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

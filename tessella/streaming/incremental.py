@@ -34,8 +34,6 @@ def run_stream(spark: SparkSession, tasks_dir: str, schema, output_dir: str, ans
     ran: list[int] = []
 
     def one(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
         todo = batch.dropDuplicates(key)
         if exists(spark, results):
             done = spark.read.schema(f"{todo.select(*key)._jdf.schema().toDDL()}, batch int").option("basePath", results).parquet(results)

@@ -65,3 +65,17 @@ def test_sections(spark):
         if r.think_end_position is not None and r.avg_entropy_output is not None:
             n = r.think_end_position + 1
             assert (n * r.avg_entropy_thinking + (r.num_tokens - n) * r.avg_entropy_output) / r.num_tokens == pytest.approx(r.avg_entropy)
+
+
+def test_draws_follow_the_distribution(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import distribution as dist
+
+    df = spark.range(20000).select("id", F.array(F.lit(0.2), F.lit(0.0), F.lit(0.5), F.lit(0.3)).alias("p"))
+    draw = lambda seed: df.select(dist.sampled(F.col("p"), dist.uniform(seed, F.col("id"))).alias("t"))
+    n = {r.t: r["count"] for r in draw(1).groupBy("t").count().collect()}
+    assert set(n) == {0, 2, 3} and all(abs(n[k] / 20000 - p) < 0.02 for k, p in ((0, 0.2), (2, 0.5), (3, 0.3)))
+    assert draw(1).collect() == draw(1).collect() != draw(2).collect()
+    edge = spark.createDataFrame([([0.5, 0.5, 0.0], 1.0), ([], 0.1), ([1.0], 0.0)], "p array<double>, u double")
+    assert [r.t for r in edge.select(dist.sampled(F.col("p"), F.col("u")).alias("t")).collect()] == [1, None, 0]

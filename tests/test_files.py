@@ -7,7 +7,9 @@ import pytest
 from tessella.config import ConsistencyConfig, EmbeddingConfig, RunConfig, configs_match
 from tessella.operators import inference
 from tessella.sources import files
+from tessella.session import cached
 from tessella.streaming.incremental import resume_guard, run_stream
+from tessella.streaming.progress import Progress
 
 
 def test_prompt_lines_count_blank_lines(spark, tmp_path):
@@ -135,6 +137,27 @@ def test_stream_answers_each_key_once(spark, tmp_path):
     assert sorted(rows) == [("a", 1), ("b", 1), ("c", 2)]
 
 
+def test_progress_of_a_stream(spark, tmp_path):
+    import time
+
+    spark.range(7).selectExpr("'a' as persona", "id as prompt_id", "0L as rep_idx").write.parquet(f"{tmp_path}/tasks")
+    told = []
+    with Progress(spark, told.append) as p:
+        run_stream(spark, f"{tmp_path}/tasks", "persona string, prompt_id long, rep_idx long", f"{tmp_path}/out", lambda t: t)
+        for _ in range(50):
+            if p.lines:
+                break
+            time.sleep(0.1)
+    assert p.lines == told and sum(x["rows"] for x in told) == 7
+
+
+def test_cached_only_inside(spark):
+    df = spark.range(5)
+    with cached(df) as c:
+        assert c.is_cached and c.count() == 5
+    assert not df.is_cached
+
+
 def test_two_turns_and_views(spark):
     tasks = spark.createDataFrame([("fox", "S", "q", "f")], "persona string, system_prompt string, question string, follow_up string")
     r = inference.run_two_turns(tasks, inference.backend("stub")).first()
