@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.ranks import code_of, part_of, with_division, with_groups
-from tessella.session import materialise, ship
+from tessella.session import discard, materialise, ship
 
 #: Parts into which a round divides each group's interval, a power of two.
 SPLIT = 64
@@ -53,6 +53,7 @@ def _bisect(rows: DataFrame, state: DataFrame, split: int, total: int) -> tuple[
     """
     done: list[DataFrame] = []
     ties: list[DataFrame] = []
+    own: list[DataFrame] = []  # rows that this function has written
     down = Window.partitionBy("g").orderBy(F.desc("part"))  # at most `split` parts a group
     while not state.isEmpty():
         inside = with_groups(rows, with_division(state, split.bit_length() - 1), total).where("code between lo and hi")
@@ -63,7 +64,10 @@ def _bisect(rows: DataFrame, state: DataFrame, split: int, total: int) -> tuple[
         done.append(found.where("n = need").select("g", "size", F.col("lo").alias("cut")))
         ties.append(found.where("n > need and lo = hi").select("g", "size", F.col("lo").alias("cut"), "need"))
         state = found.where("n > need and lo < hi").drop("n")
-        rows = materialise(with_groups(rows, state, total).where("code between lo and hi").select("g", "item", "code"))
+        fewer = materialise(with_groups(rows, state, total).where("code between lo and hi").select("g", "item", "code"))
+        discard(*own)
+        rows, own = fewer, [fewer]
+    discard(*own)
     return _union(done), _union(ties)
 
 

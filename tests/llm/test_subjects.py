@@ -60,6 +60,26 @@ def test_excluded_passages_bear_nothing(spark, corpus):
     assert S.subjects_of(everything, lab, sub, excluded=passage).where("doc_id = 1 and sentences > 0").count() == S.subjects_of(d, lab, sub, excluded=passage).where("doc_id = 1").count()
 
 
+def test_only_words_in_passages_are_left_out():
+    item = "the court of appeal ruled on the patent of the famous inventor after a long and weary trial in spring"
+    f = S.Featuriser(S.Patterns([(0, item)]))
+    plain = S.Featuriser()
+    short = "The court of appeal ruled, but the notary wept."
+    assert f(short) == plain(short)  # a short quotation is no passage
+    inside = f"The lemon is sour. Then {item} and the broth was hot. The dough is soft."
+    got, rest = f(inside), plain("The lemon is sour. Then and the broth was hot. The dough is soft.")
+    assert got == rest
+
+
+def test_excluded_texts_in_several_blocks(spark, corpus):
+    d, *_ = corpus
+    words = [" ".join(f"{a}{i}" for a in "abcdefghijklmnop") for i in range(4)]
+    docs = spark.createDataFrame([(i, f"The lemon is {w} and sour. The dough is soft.", "") for i, w in enumerate(words)] + [(9, None, "")], d.schema)
+    items = spark.createDataFrame([(w,) for w in words], "text string")
+    one, many = ({r.doc_id: (r.lengths, r.feats) for r in S.features(docs, "doc_id", "text", items, block_chars=n).collect()} for n in (10**6, 60))
+    assert one == many and {sum(n) for n, _ in one.values()} == {0, 16}
+
+
 def test_without_labels_or_documents(corpus):
     d, lab, sub, _ = corpus
     assert S.subjects_of(d, lab.limit(0), sub).count() == 0
