@@ -51,6 +51,7 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items = [(i, words(t)) for i, t in items if t]
+        self.vocabularies = [frozenset(w) for _, w in self.items]
         self.shift: dict[tuple[str, str], int] = {}
         self.bucket: dict[tuple[str, str], dict[tuple[str, ...], list[tuple[int, int]]]] = {}
         for n, (_, w) in enumerate(self.items):
@@ -95,6 +96,9 @@ class Patterns:
         end = 0
         for a, b, i, j, _ in regions:
             a, b, i, j = max(end, a - PASSAGE), b + PASSAGE, max(0, i - PASSAGE), j + PASSAGE
+            # no more words can agree than occur in both; most hits are chance and end here
+            if sum(map(self.vocabularies[n].__contains__, doc[a:b])) < AGREE * PASSAGE or common(doc[a:b], item[i:j]) < AGREE * PASSAGE:
+                continue
             run: list[tuple[int, int, int]] = []
             for x, y, size in [*SequenceMatcher(None, doc[a:b], item[i:j], autojunk=False).get_matching_blocks()[:-1], (1 << 40, 1 << 40, 0)]:
                 if run and (x - run[-1][0] - run[-1][2] > GAP or y - run[-1][1] - run[-1][2] > GAP):
@@ -115,6 +119,20 @@ class Patterns:
         return held(found)
 
 
+def common(a: list[str], b: list[str]) -> int:
+    """How many words two lists have in common, each as often as in both."""
+    left: dict[str, int] = {}
+    for w in b:
+        left[w] = left.get(w, 0) + 1
+    n = 0
+    for w in a:
+        k = left.get(w)
+        if k:
+            left[w] = k - 1
+            n += 1
+    return n
+
+
 def agreeing(run: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Of a run of agreeing stretches (begin, end), in order, the longest part that begins and ends with one and of whose words
     AGREE agree, if it has PASSAGE words, and such parts of what is left on either side: (begin, end, agreeing words).

@@ -64,6 +64,16 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+class Numbers(dict):
+    """Word -> its hash, found once and remembered."""
+
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        n = self[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
+        return n
+
+
 class Featuriser:
     """Hashed words and word pairs of a text's sentences.
 
@@ -72,21 +82,13 @@ class Featuriser:
 
     def __init__(self, patterns: Patterns | None = None) -> None:
         self.patterns = patterns
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers()
         self.seen: dict[str, tuple[list[str], list[int]]] = {}
 
-    def _number(self, x: str) -> int:
-        import xxhash
-
-        n = self.numbers.get(x)
-        if n is None:
-            if len(self.numbers) > 2_000_000:
-                self.numbers.clear()
-            n = self.numbers[x] = xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass"))
-        return n
-
     def _features(self, w: list[str]) -> list[int]:
-        n = list(map(self._number, w))
+        if len(self.numbers) > 2_000_000:
+            self.numbers.clear()
+        n = list(map(self.numbers.__getitem__, w))
         # a pair's number is mixed from its words' numbers, so that no strings are made for pairs
         return [x % FEATURES for x in n] + [((a * 0x9E3779B1 ^ b) * 0x85EBCA6B >> 21) % FEATURES for a, b in zip(n, n[1:])]
 
