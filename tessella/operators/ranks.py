@@ -54,15 +54,16 @@ def part_of() -> Column:
     return F.expr("cast(shiftright(code, shift) - base as int)")
 
 
-def with_groups(rows: DataFrame, state: DataFrame, total: int, size: str = "size", most: int | None = None) -> DataFrame:
+def with_groups(rows: DataFrame, state: DataFrame, total: int, size: str = "size", most: int | None = None, lines: int | None = None) -> DataFrame:
     """rows joined with the lines of state of their group g; rows of groups without one drop out.
 
     State is broadcast while it has at most `most` lines. Else those of groups with more than total / most rows are, which
     can't be more than `most` groups, and only the others' rows are joined by a shuffle: no hot group is shuffled.
-    size: the column of state that has the rows of a line's group; total: at least the number of rows.
+    size: the column of state that has the rows of a line's group; total: at least the number of rows; lines: how many lines
+    state has, if that is known.
     """
     most = BROADCAST_GROUPS if most is None else most
-    if small_enough(state, most):
+    if lines <= most if lines is not None else small_enough(state, most):
         return rows.join(F.broadcast(state), "g")
     is_hot = F.col(size) > total / max(most, 1)
     hot, cold = state.where(is_hot), state.where(~is_hot)
@@ -70,32 +71,36 @@ def with_groups(rows: DataFrame, state: DataFrame, total: int, size: str = "size
     return rows.join(F.broadcast(hot), "g").unionByName(few.join(cold, "g"))
 
 
-def values_at(rows: DataFrame, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+def values_at(rows: DataFrame, wanted: DataFrame, bits: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """(g, rank, code) for each wanted (g, rank): the code at that rank, from 0, of the group's rows (g, code).
 
     Ranks outside a group and groups without rows give no line. Repeated codes take a rank each. A group has few ranks.
+    bounds: (g, size, lo, hi) of the groups, if they are known.
     """
-    bounds = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("code").alias("lo"), F.max("code").alias("hi"))
+    bits = BITS if bits is None else bits
+    if bounds is None:
+        bounds = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("code").alias("lo"), F.max("code").alias("hi"))
     ranks = wanted.groupBy("g").agg(F.collect_set("rank").alias("ranks"))
     state = materialise(ranks.join(bounds, "g").select("g", "size", "lo", "hi", F.lit(0).cast("bigint").alias("below"), "ranks"))
-    total = state.agg(F.sum("size")).first()[0] or 0
     done = state.where("lo = hi").select("g", F.explode(F.expr("filter(ranks, r -> r >= 0 and r < size)")).alias("rank"), F.col("lo").alias("code"))
-    state = state.where("lo < hi")
+    total, left = state.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.expr("lo < hi"))).first()
     before = Window.partitionBy("g", "from").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^bits parts
     held: list[DataFrame] = []  # rows of this function's own
-    while not state.isEmpty():
+    while left:
+        state = state.where("lo < hi")
         lines = with_division(state.select("g", "size", "lo", "hi"), bits)
-        parts = with_groups(rows, lines, total).where("code between lo and hi").groupBy("g", F.col("lo").alias("from"), part_of().alias("part"))
-        counts = parts.agg(F.count("*").alias("n"), F.min("code").alias("least"), F.max("code").alias("most"))
+        inside = with_groups(rows, lines, total, lines=left).where("code between lo and hi")
+        counts = inside.groupBy("g", F.col("lo").alias("from"), part_of().alias("part")).agg(F.count("*").alias("n"), F.min("code").alias("least"), F.max("code").alias("most"))
         placed = counts.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
         joined = placed.join(state.withColumnRenamed("lo", "from"), ["g", "from"]).withColumn("below", F.col("below") + F.col("inside"))
         own = joined.withColumn("ranks", F.expr("filter(ranks, r -> r >= below and r < below + n)")).where("size(ranks) > 0")
-        found = materialise(own.select("g", "size", F.col("least").alias("lo"), F.col("most").alias("hi"), "below", "ranks"))
-        done = done.unionByName(found.where("lo = hi").select("g", F.explode("ranks").alias("rank"), F.col("lo").alias("code")))
-        state = found.where("lo < hi")
-        fewer = materialise(with_groups(rows, state.select("g", "size", "lo", "hi"), total).where("code between lo and hi").select("g", "code"))
-        discard(*held)
-        rows, held = fewer, [fewer]
+        state = materialise(own.select("g", "size", F.col("least").alias("lo"), F.col("most").alias("hi"), "below", "ranks"))
+        done = done.unionByName(state.where("lo = hi").select("g", F.explode("ranks").alias("rank"), F.col("lo").alias("code")))
+        left = state.where("lo < hi").count()
+        if left:
+            fewer = materialise(with_groups(rows, state.where("lo < hi").select("g", "size", "lo", "hi"), total, lines=left).where("code between lo and hi").select("g", "code"))
+            discard(*held)
+            rows, held = fewer, [fewer]
     discard(*held)
     return done
 
@@ -110,11 +115,11 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: Column | str, ps:
     g = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(groups)]) if groups else F.struct(F.lit(0).alias("g0"))
     rows = df.select(g.alias("g"), number(value).alias("x")).where("x is not null")
     rows = materialise(rows.select("g", code_of(F.col("x")).alias("code")))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    at = F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in ps])
-    targets = materialise(sizes.select("g", "n", F.posexplode(at).alias("i", "t")).withColumns({"below": F.floor("t"), "above": F.ceil("t")}))
+    bounds = materialise(rows.groupBy("g").agg(F.count("*").alias("size"), F.min("code").alias("lo"), F.max("code").alias("hi")))
+    at = F.array(*[F.lit(float(p)) * (F.col("size") - 1) for p in ps])
+    targets = bounds.select("g", F.col("size").alias("n"), F.posexplode(at).alias("i", "t")).withColumns({"below": F.floor("t"), "above": F.ceil("t")})
     wanted = targets.select("g", F.explode(F.array("below", "above")).alias("rank"))
-    found = values_at(rows, wanted).select("g", "rank", value_of(F.col("code")).alias("v"))
+    found = values_at(rows, wanted, bounds=bounds).select("g", "rank", value_of(F.col("code")).alias("v"))
     lo, hi = (found.select("g", F.col("rank").alias(k), F.col("v").alias(f"v_{k}")) for k in ("below", "above"))
     between = F.when((F.col("below") == F.col("above")) | (F.col("v_below") == F.col("v_above")), F.col("v_below"))
     q = between.otherwise((F.col("above") - F.col("t")) * F.col("v_below") + (F.col("t") - F.col("below")) * F.col("v_above"))
