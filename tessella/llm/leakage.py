@@ -96,8 +96,8 @@ class Patterns:
         end = 0
         for a, b, i, j, _ in regions:
             a, b, i, j = max(end, a - PASSAGE), b + PASSAGE, max(0, i - PASSAGE), j + PASSAGE
-            # no more words can agree than occur in both; most hits are chance and end here
-            if sum(map(self.vocabularies[n].__contains__, doc[a:b])) < AGREE * PASSAGE or common(doc[a:b], item[i:j]) < AGREE * PASSAGE:
+            # no more words can agree than occur in both, in order; most hits are chance and end here
+            if sum(map(self.vocabularies[n].__contains__, doc[a:b])) < AGREE * PASSAGE or in_order(doc[a:b], item[i:j]) < AGREE * PASSAGE:
                 continue
             run: list[tuple[int, int, int]] = []
             for x, y, size in [*SequenceMatcher(None, doc[a:b], item[i:j], autojunk=False).get_matching_blocks()[:-1], (1 << 40, 1 << 40, 0)]:
@@ -119,18 +119,18 @@ class Patterns:
         return held(found)
 
 
-def common(a: list[str], b: list[str]) -> int:
-    """How many words two lists have in common, each as often as in both."""
-    left: dict[str, int] = {}
-    for w in b:
-        left[w] = left.get(w, 0) + 1
-    n = 0
+def in_order(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bits of whole numbers: a step for each word of a."""
+    places: dict[str, int] = {}
+    for k, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << k
+    full = free = (1 << len(b)) - 1
     for w in a:
-        k = left.get(w)
-        if k:
-            left[w] = k - 1
-            n += 1
-    return n
+        m = places.get(w)
+        if m:
+            u = free & m
+            free = (free + u | free - u) & full
+    return len(b) - free.bit_count()
 
 
 def agreeing(run: list[tuple[int, int]]) -> list[tuple[int, int, int]]:

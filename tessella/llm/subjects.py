@@ -253,6 +253,7 @@ def _counts(table: DataFrame, classes: int, weights: np.ndarray | None) -> np.nd
 
     summed = table.mapInArrow(run, schema).groupBy("f").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)])
     got = summed.toArrow()  # at most FEATURES rows
+    shared.destroy()
     out = np.zeros((FEATURES, classes))
     if got.num_rows:
         out[got["f"].to_numpy()] = np.stack([got[f"c{k}"].to_numpy() for k in range(classes)], 1)
@@ -305,6 +306,7 @@ def _calibration(table: DataFrame, weights: np.ndarray, classes: int) -> np.ndar
         yield pa.record_batch([pa.array(k.astype("int32")), pa.array(i.astype("int32")), pa.array(y.astype("int32")), pa.array(n[k, i, y])], names=["k", "i", "y", "n"])
 
     got = table.where("held and votes is not null").mapInArrow(run, "k int, i int, y int, n double").groupBy("k", "i", "y").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
     n = np.zeros((classes - 1, len(_BINS), 2))
     for r in got:  # at most subjects x bins x 2 rows
         n[r.k, r.i, r.y] = r.n
