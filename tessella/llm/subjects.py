@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.leakage import BLOCK_CHARS, Patterns, item_blocks, words
+from tessella.llm.leakage import BLOCK_CHARS, WINDOW, Patterns, item_blocks, words
 from tessella.session import materialise, ship, small_enough, spread
 
 #: Hashed features; smoothing of their counts; rounds of expectation-maximisation.
@@ -106,9 +106,21 @@ class Featuriser:
         return out
 
     def covered(self, each: list[tuple[list[str], list[int]]]) -> set[int]:
-        """Places of the words, of all sentences one after the other, that lie in passages of excluded texts."""
+        """Places of the words, of all sentences one after the other, that lie in passages of excluded texts.
+
+        These share phrases, so the one with the most windows in the document goes first, and one whose windows all lie in
+        passages already found is not aligned any more.
+        """
+        shut: set[int] = set()
+        if not self.patterns:
+            return shut
         doc = [x for w, _ in each for x in w]
-        return {k for own in self.patterns.search(doc).values() for begin, end, _ in own for k in range(begin, end)} if self.patterns else set()
+        hits = self.patterns.hits(doc)
+        for n in sorted(hits, key=lambda n: (-len(hits[n]), n)):
+            if not all(d in shut and d + WINDOW - 1 in shut for d, _ in hits[n]):
+                for begin, end, _ in self.patterns.passages(doc, n, hits[n]):
+                    shut.update(range(begin, end))
+        return shut
 
     def __call__(self, text: str, shut: set[int] | None = None) -> list[list[int]]:
         """Features of the sentences with two words or more besides those at the places `shut`, by default covered()."""
