@@ -55,8 +55,9 @@ def _bisect(rows: DataFrame, state: DataFrame, split: int, total: int) -> tuple[
     ties: list[DataFrame] = []
     own: list[DataFrame] = []  # rows that this function has written
     down = Window.partitionBy("g").orderBy(F.desc("part"))  # at most `split` parts a group
-    while not state.isEmpty():
-        inside = with_groups(rows, with_division(state, split.bit_length() - 1), total).where("code between lo and hi")
+    left = state.count()
+    while left:
+        inside = with_groups(rows, with_division(state, split.bit_length() - 1), total, lines=left).where("code between lo and hi")
         counts = inside.groupBy("g", "size", "need", part_of().alias("part")).agg(F.count("*").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"))
         above = F.sum("n").over(down) - F.col("n")
         found = counts.withColumn("need", F.col("need") - above).where("need between 1 and n")
@@ -64,9 +65,11 @@ def _bisect(rows: DataFrame, state: DataFrame, split: int, total: int) -> tuple[
         done.append(found.where("n = need").select("g", "size", F.col("lo").alias("cut")))
         ties.append(found.where("n > need and lo = hi").select("g", "size", F.col("lo").alias("cut"), "need"))
         state = found.where("n > need and lo < hi").drop("n")
-        fewer = materialise(with_groups(rows, state, total).where("code between lo and hi").select("g", "item", "code"))
-        discard(*own)
-        rows, own = fewer, [fewer]
+        left = state.count()
+        if left:
+            fewer = materialise(with_groups(rows, state, total, lines=left).where("code between lo and hi").select("g", "item", "code"))
+            discard(*own)
+            rows, own = fewer, [fewer]
     discard(*own)
     return _union(done), _union(ties)
 
