@@ -53,6 +53,26 @@ def finished_tasks(done: DataFrame, personae: DataFrame, prompts: DataFrame, rep
     return keys.join(personae, "persona", "left_semi").join(prompts, "prompt_id", "left_semi").select("persona", "prompt_id", rep)
 
 
+def remaining_by_persona(personae: DataFrame, prompts: DataFrame, done: DataFrame, repetitions: int, rep: str = "rep_idx") -> DataFrame:
+    """(persona, remaining, first_prompt): how many tasks of the grid of personae, prompts and repetitions no finished row has,
+    and the least prompt_id among them; personae with nothing left give no row.
+
+    The grid itself is never built, as it grows with the product of its sides: what is left of a persona is the size of its
+    part of the grid less its finished keys, and its first prompt is the one behind those that are finished from the least
+    prompt_id on without a gap. Repeated personae and prompts have their tasks each; a null of either is never finished.
+    """
+    if repetitions < 1:
+        raise ValueError("repetitions must be at least 1")
+    people = personae.groupBy("persona").agg(F.count("*").alias("_people"))
+    asked = materialise(numbered(prompts.where("prompt_id is not null").groupBy("prompt_id").agg(F.count("*").alias("_times")), "prompt_id", name="_place"))
+    keys = finished_tasks(done, personae, prompts, repetitions, rep).groupBy("persona", "prompt_id").agg(F.count("*").alias("_reps"))
+    placed = running_total(keys.join(asked, "prompt_id"), "persona", "_place", F.when(F.col("_reps") == repetitions, 1).otherwise(0), "_whole")
+    ended = placed.groupBy("persona").agg(F.sum(F.col("_times") * F.col("_reps")).alias("_done"), F.count_if(F.col("_whole") == F.col("_place") + 1).alias("_place"))
+    counted = people.join(ended, "persona", "left").withColumn("_place", F.coalesce("_place", F.lit(0).cast("bigint")))
+    left = counted.withColumn("remaining", F.col("_people") * (F.lit(prompts.count() * repetitions) - F.coalesce("_done", F.lit(0)))).where("remaining > 0")
+    return left.join(asked, "_place", "left").select("persona", "remaining", F.col("prompt_id").alias("first_prompt"))
+
+
 def first_fraction(df: DataFrame, fraction: float, ordinal: str = "ordinal") -> DataFrame:
     """The first ceil(n * fraction) rows in file order; all for a fraction of 1 or more."""
     if fraction <= 0:

@@ -30,8 +30,8 @@ def system_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def resume_remaining(spark: SparkSession, d: str) -> DataFrame:
     """Tasks of the one-repetition grid that results lack, by persona."""
-    left = grid.remaining_tasks(grid.task_grid(personae(spark, d), prompts(spark, d), 1), table(spark, d, "results"))
-    return left.groupBy("persona").agg(F.count("*").alias("remaining"), F.min("prompt_id").alias("first_prompt"))
+    asked = table(spark, d, "prompts").select(F.col("id").alias("prompt_id"))
+    return grid.remaining_by_persona(table(spark, d, "personae").select("persona"), asked, table(spark, d, "results"), 1)
 
 
 def resume_done(spark: SparkSession, d: str) -> DataFrame:

@@ -28,6 +28,22 @@ def test_grid_and_resume(people, questions):
         grid.task_grid(people, questions, 0)
 
 
+@pytest.mark.parametrize(("block", "repetitions"), [(65_536, 1), (3, 1), (3, 2)])
+def test_remaining_by_persona_without_the_grid(spark, monkeypatch, block, repetitions):
+    """The same as counting what is left of the grid, with repeated and null personae and prompts and foreign results."""
+    monkeypatch.setattr(grid.running_total, "__defaults__", (block,))
+    people = spark.createDataFrame([(x, "a", i) for i, x in enumerate(["fox", "owl", "owl", "ada", "eve", None])], "persona string, article string, ordinal long")
+    asked = spark.createDataFrame([(x, i) for i, x in enumerate([*range(10, 18), 12, None])], "prompt_id long, ordinal long")
+    some = [("fox", x, r) for x in (10, 11, 12, 13, 15) for r in (0, 1)] + [("owl", x, 0) for x in range(11, 18)] + [("ada", x, r) for x in range(10, 18) for r in (0, 1)]
+    done = spark.createDataFrame(some + some[:3] + [("zoe", 10, 0), ("eve", 99, 0), ("eve", 10, 7), (None, 10, 0), ("eve", None, 0)], "persona string, prompt_id long, rep_idx long")
+    for q in (asked, asked.where("prompt_id is not null"), asked.limit(0)):
+        want = grid.remaining_tasks(grid.task_grid(people, q, repetitions), done).groupBy("persona").agg(F.count("*").alias("n"), F.min("prompt_id").alias("p"))
+        got = grid.remaining_by_persona(people, q, done, repetitions)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_fractions_take_the_ceiling_of_doubles(spark):
     df = spark.range(100).select(F.col("id").alias("ordinal"), F.lit("c").alias("c"))
     assert grid.first_fraction(df, 0.07).count() == 8  # 100 * 0.07 is just above 7
