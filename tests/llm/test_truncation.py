@@ -148,3 +148,39 @@ def test_longer_copy_that_is_not_judged(spark):
     assert T.truncated(df).count() == 0
     others = spark.createDataFrame([(own, "clash"), (None, ""), ("", ""), (own, "")], "text string, bands string")
     assert [(r.ordinal, r.evidence) for r in T.truncated(df, others).collect()] == [(1, "longer copy")]
+
+
+def crowded(rng, groups, others):
+    """Copies with a changed word, cut inside a sentence two words into what only their originals go on with, among longer texts
+    that are like them but for another word in that place and another end."""
+    rows = []
+    for g in range(groups):
+        base = " ".join(f"{sentence(rng)[:-1]} {g} {i}." for i in range(6)).split()
+        with_word = lambda w: base[:5] + [w] + base[6:]  # noqa: B023, E731
+        rows.append((10_000 + g, with_word("otherwise") + ["Lemons", "ripen"]))
+        rows.append((g, base + ["Lemons", "ripen", "late", "this", "year."]))
+        rows += [(1000 * (g + 100) + i, with_word(f"other{i}") + ["Of", f"these{i}", "nobody", "ever", "spoke", "again", "there."]) for i in range(others)]
+        rows += [(1000 * (g + 200) + i, with_word("otherwise") + ["Of", f"those{i}", "nobody", "ever", "spoke", "again", "there."]) for i in range(3)]
+    return [("results", n, "r", "Why?", " ".join(w), None, 4000, "clash") for n, w in rows]
+
+
+def test_original_of_a_changed_copy_among_many_that_agree_further_back(spark):
+    df = spark.createDataFrame(crowded(random.Random(4), 8, 30), SCHEMA)
+    got = {r.ordinal for r in T.truncated(df).where("evidence = 'longer copy'").collect()}
+    assert got == {10_000 + g for g in range(8)}
+
+
+def test_every_containing_text_is_a_candidate(spark):
+    """The pairs are all that brute force finds, whatever is repeated, and next to none besides."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcd") * rng.randint(1, 3) for _ in range(rng.randint(3, 60))) for _ in range(60)]
+    for t in texts[:30]:
+        w = t.split()
+        texts += [" ".join(w + [rng.choice("abcd") for _ in range(rng.randint(1, 40))]), " ".join("edited" if rng.random() < 0.04 else x for x in w), " — ".join(w[: rng.randint(1, len(w))]).upper()]
+    texts = sorted(set(texts))
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 8 else set() for t in texts for w in [t.replace(" — ", " ").casefold().split()]]
+    want = {(i, j) for i, a in enumerate(grams) for j, b in enumerate(grams) if i != j and a and len(a & b) >= 0.8 * len(a)}
+    marks = T.read_grams(spark.createDataFrame(list(enumerate(texts)), "th long, text string")).where("grams is not null").selectExpr("*", "true as asks")
+    got = {(r.th, r.long) for r in T._containing(marks).collect()}
+    assert len(want) > 60 and want <= got
+    assert len(got) <= 1.5 * len(want)
