@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tessella.llm.answers import output_of
-from tessella.llm.defects import defect_hint, is_refusal, tiles
+from tessella.llm.defects import _may_copy, copies_question, defect_hint, is_refusal, tiles
 from tessella.llm.language import language_chars
 
 Q = "What do you think of the notary?"
@@ -88,3 +88,25 @@ def test_tiles_cover_no_more_than_shared_words(seed):
         assert a[i : i + n] == b[j : j + n] and n >= min(3, len(b))
     if a:
         assert covered(a, a, 2) == len(a)
+
+
+def test_framed_copies_are_told_by_the_whole_answer():
+    """More words of framing stand in the first 200 characters than one copy may have, but each copy has few."""
+    assert hint(Q, f"Somebody asked me this: {Q} " * 6) == "copies_question"
+    assert hint(Q, f"Somebody asked me this: {Q} " * 6 + "It signs every deed that comes before the court, and then it rests.") is None
+    long = [f"word{i}" for i in range(60)]
+    edited = [f"other{i}" if i % 4 == 3 and i < 32 else w for i, w in enumerate(long)]
+    assert hint(" ".join(long), " ".join(edited)) == "copies_question"
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_no_copy_fails_the_quick_check(seed):
+    rng = random.Random(seed)
+    copies = 0
+    for _ in range(200):
+        q = [rng.choice("abcdefghij") for _ in range(rng.randint(1, 15))]
+        a = [w for _ in range(rng.randint(1, 6)) for w in ["x"] * rng.randint(0, 4) + [w if rng.random() > 0.1 else "y" for w in q]]
+        if copies_question(q, a):
+            copies += 1
+            assert _may_copy(q, a)
+    assert copies > 20
