@@ -184,3 +184,42 @@ def test_every_containing_text_is_a_candidate(spark):
     got = {(r.th, r.long) for r in T._containing(marks).collect()}
     assert len(want) > 60 and want <= got
     assert len(got) <= 1.5 * len(want)
+
+
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_sketches_are_not_sent_with_every_shingle(spark, copies):
+    """Texts that share most of their shingles with others send few bytes a shingle, and none is missed, however often it is read."""
+    rng = random.Random(8)
+    parts = [[f"{rng.choice(NOUNS)}{i}{k}" for k in range(40)] for i in range(60)]
+    texts = [" ".join(rng.choice(parts) + rng.choice(parts)) for _ in range(2000)] + [" ".join(p[: rng.randint(20, 38)]) for p in parts]
+    texts = sorted(set(texts))
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for t in texts for w in [t.split()]]
+    has = {}
+    for i, own in enumerate(grams):
+        for x in own:
+            has.setdefault(x, set()).add(i)
+    want = {(i, j) for i, a in enumerate(grams) for j in set().union(*(has[x] for x in a)) - {i} if len(a & grams[j]) >= 0.8 * len(a)}
+    df = spark.createDataFrame([(i, t) for _ in range(copies) for i, t in enumerate(texts)], "th long, text string")
+    marks = T.materialise(T.read_grams(df.repartition(4)).where("grams is not null").selectExpr("*", "true as asks"))
+    before = shuffled(spark)
+    pairs = T._containing(marks)
+    sent = shuffled(spark) - before
+    assert sent <= 4 * copies * sum(map(len, grams))  # two; with a hash and a sketch in each row more than nine
+    assert want <= {(r.th, r.long) for r in pairs.collect()}
+    assert pairs.count() <= 1.5 * len(want)
+
+
+def test_counts_by_slot_are_packed_and_added(spark):
+    counts = T.np.zeros(4 * T.BLOCK, T.np.int32)
+    counts[[0, 5, T.BLOCK - 1, 2 * T.BLOCK, 4 * T.BLOCK - 1]] = [1, 70_000, 3, 2**31 - 1, 1]
+    blocks, packed = T._pack(counts)
+    got = {int(s) + k * T.BLOCK: int(n) for k, p in zip(blocks, packed, strict=True) for s, n in zip(*T._unpack(p), strict=True)}
+    assert blocks == [0, 2, 3] and got == {int(i): int(counts[i]) for i in T.np.flatnonzero(counts)}
