@@ -223,3 +223,19 @@ def test_counts_by_slot_are_packed_and_added(spark):
     blocks, packed = T._pack(counts)
     got = {int(s) + k * T.BLOCK: int(n) for k, p in zip(blocks, packed, strict=True) for s, n in zip(*T._unpack(p), strict=True)}
     assert blocks == [0, 2, 3] and got == {int(i): int(counts[i]) for i in T.np.flatnonzero(counts)}
+
+
+def test_defects_send_texts_to_align_once(spark):
+    """With hints, as p3_found judges: cut copies among texts that share their shingles are found, and what is shuffled is a small
+    multiple of the texts."""
+    rng = random.Random(12)
+    parts = [" ".join(f"{rng.choice(NOUNS)}{i}{k}" for k in range(40)) for i in range(60)]
+    texts = sorted({f"{rng.choice(parts)} {rng.choice(parts)} ends." for _ in range(3000)})
+    cut = [t.rsplit(" ", 4)[0] for t in texts[::40]]
+    rows = [("results", i, "r", "Why?", t, None, 4000, "clash") for i, t in enumerate(texts + cut)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    before = shuffled(spark)
+    got = T.judged(df, hints=True).where("evidence = 'longer copy'").collect()
+    sent = shuffled(spark) - before
+    assert {r.ordinal for r in got} >= set(range(len(texts), len(rows)))
+    assert sent <= 2.1 * sum(map(len, texts))
